@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, so that names used on the way cannot clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of ``row`` and then those of ``added``; an added column replaces an input
+    column of the same name (whatever its case)."""
+    taken = {c.lower() for c in added}
+    kept = [F.col("row").getField(c).alias(c) for c in columns if c.lower() not in taken]
+    return df.select(*kept, *added)
