@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import quality, sharding
 from millrace.llm.shared import table
 
 
+def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    )
+    return sharding.sharded(docs, shards=16, carry=["doc_id", "text_crc32"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", *quality.FEATURES, "base_failed", "quality", "kept")
 
 
 QUERIES = {
+    "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
 }
 
