@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality, sharding
+from millrace.llm import quality, sharding, urls
 from millrace.llm.shared import table
 
 
@@ -29,9 +29,16 @@ def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *quality.FEATURES, "base_failed", "quality", "kept")
 
 
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
 }
 
+QUERIES["op8_url_templates"] = op8_url_templates
+
 ORACLES: dict[str, str] = {}
