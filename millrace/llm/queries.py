@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality, sharding, urls
+from millrace.llm import quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -34,11 +34,16 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
 }
 
 QUERIES["op8_url_templates"] = op8_url_templates
+QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
 
 ORACLES: dict[str, str] = {}
