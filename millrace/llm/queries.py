@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality, sharding, urls, warc
+from millrace.llm import passages, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -38,6 +38,13 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.deduplicated(docs, carry=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
@@ -45,5 +52,6 @@ QUERIES = {
 
 QUERIES["op8_url_templates"] = op8_url_templates
 QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
+QUERIES["op6_repeated_passages"] = op6_repeated_passages
 
 ORACLES: dict[str, str] = {}
