@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import passages, quality, sharding, urls, warc
+from millrace.llm import neardup, passages, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -45,6 +45,11 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, carry=["doc_id"])
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
@@ -53,5 +58,6 @@ QUERIES = {
 QUERIES["op8_url_templates"] = op8_url_templates
 QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
 QUERIES["op6_repeated_passages"] = op6_repeated_passages
+QUERIES["op4_near_duplicates"] = op4_near_duplicates
 
 ORACLES: dict[str, str] = {}
