@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import neardup, passages, quality, sharding, urls, warc
+from millrace.llm import decontamination, neardup, passages, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -50,6 +50,21 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, carry=["doc_id"])
 
 
+def op3_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), slop=2)
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
@@ -59,5 +74,6 @@ QUERIES["op8_url_templates"] = op8_url_templates
 QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
 QUERIES["op6_repeated_passages"] = op6_repeated_passages
 QUERIES["op4_near_duplicates"] = op4_near_duplicates
+QUERIES["op3_benchmark_phrases"] = op3_benchmark_phrases
 
 ORACLES: dict[str, str] = {}
