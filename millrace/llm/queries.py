@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, neardup, passages, quality, sharding, urls, warc
+from millrace.llm import decontamination, neardup, passages, pieces, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -65,6 +65,24 @@ def op3_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_path() -> str:
+    """The SentencePiece model of the queries: the public one of this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = pieces.load_pieces(model_path())
+    tokens = pieces.encode(docs.withColumn("crc", F.xxhash64("text")), vocabulary, carry=["doc_id", "crc"])
+    tokens = tokens.withColumns({"n_tokens": F.size("tokens").cast("long"), "tokens_hash": F.xxhash64("tokens")})
+    decoded = pieces.decode(tokens, vocabulary, carry=["doc_id", "crc", "n_tokens", "tokens_hash"])
+    return decoded.select(
+        "doc_id", "n_tokens", "tokens_hash", (F.xxhash64("decoded") == F.col("crc")).alias("lossless")
+    )
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op7_quality_votes": op7_quality_votes,
@@ -75,5 +93,6 @@ QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
 QUERIES["op6_repeated_passages"] = op6_repeated_passages
 QUERIES["op4_near_duplicates"] = op4_near_duplicates
 QUERIES["op3_benchmark_phrases"] = op3_benchmark_phrases
+QUERIES["op10_sampled_pieces"] = op10_sampled_pieces
 
 ORACLES: dict[str, str] = {}
