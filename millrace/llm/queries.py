@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, neardup, passages, pieces, quality, sharding, urls, warc
+from millrace.llm import decontamination, neardup, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -65,6 +65,17 @@ def op3_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return pii.with_spans(docs, carry=["doc_id"]).select(
+        "doc_id",
+        *[of(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def model_path() -> str:
     """The SentencePiece model of the queries: the public one of this machine."""
     import public_tokenizers
@@ -85,14 +96,14 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op3_benchmark_phrases": op3_benchmark_phrases,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_disclosing_terms": op5_disclosing_terms,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_quality_votes": op7_quality_votes,
+    "op8_url_templates": op8_url_templates,
+    "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
-QUERIES["op8_url_templates"] = op8_url_templates
-QUERIES["op9_warc_round_trip"] = op9_warc_round_trip
-QUERIES["op6_repeated_passages"] = op6_repeated_passages
-QUERIES["op4_near_duplicates"] = op4_near_duplicates
-QUERIES["op3_benchmark_phrases"] = op3_benchmark_phrases
-QUERIES["op10_sampled_pieces"] = op10_sampled_pieces
-
 ORACLES: dict[str, str] = {}
