@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, neardup, passages, pieces, pii, quality, sharding, urls, warc
+from millrace.llm import decontamination, html, neardup, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -24,6 +24,13 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extracted(pages, carry=["page_id", "url"]).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", *quality.FEATURES, "base_failed", "quality", "kept")
@@ -96,6 +103,7 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_main_text": op2_main_text,
     "op3_benchmark_phrases": op3_benchmark_phrases,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_disclosing_terms": op5_disclosing_terms,
