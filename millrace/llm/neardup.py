@@ -8,10 +8,11 @@ shares an entry. Sets with a Jaccard similarity of 0.85 exceed DISTANCE with a p
 2e-7 at the default sizes. Candidates are then checked on their whole sets.
 
 Documents with equal sets are one vertex from the start. The members of an entry are not all paired:
-in each round every entry compares its pivot with those members that are not yet in the pivot's
-component. Rounds go on, with other pivots, until what is left to compare (pairs of different
-components in one entry) is at most LEFT_PER_VERTEX pairs for each vertex; those are compared, so
-that no link is lost.
+in the first rounds every entry compares its pivot with those members that are not yet in the
+pivot's component, which joins the groups of near copies. What is left (members of different
+components in one entry) is then compared in full, so that no link is lost: in blocks of bounded
+size, in place, on signatures that are longer and made for these vertices only. Only pairs that pass
+both distances leave a block, each from the first entry that it shares.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ class Options:
     distance: int = 25
     chunks: int = 13
     seed: int = 20
+    #: The longer signatures: positions of 8 bits, and the distance that a similarity of 0.85
+    #: exceeds with a probability of about 1e-7.
+    long_positions: int = 256
+    long_distance: int = 70
 
     def chunk_positions(self) -> list[np.ndarray]:
         return np.array_split(np.arange(self.positions), self.chunks)
@@ -56,15 +61,15 @@ class Options:
                 out.append(tuple(p for p in chunk.tolist() if p not in left_out))
         return out
 
-    def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
-        draw = np.random.default_rng(self.seed).integers(0, 2**64, size=(2, self.positions), dtype=U64)
+    def multipliers(self, positions: int) -> tuple[np.ndarray, np.ndarray]:
+        draw = np.random.default_rng(self.seed + positions).integers(0, 2**64, size=(2, positions), dtype=U64)
         return draw[0] | U64(1), draw[1]
 
 
-#: Pairs that may be left for the last, complete round (for each vertex, or in all); pivot rounds
-#: before it.
-LEFT_PER_VERTEX, LEFT_AT_LEAST = 4, 50_000
-PIVOT_ROUNDS = 12
+#: Rounds of pivots, and members of an entry in a block of the complete round after them.
+PIVOT_ROUNDS = 2
+TAG_MASK = 127
+BLOCK = 2048
 #: Ids up to which a semi join is done by broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -94,12 +99,92 @@ def signatures(sets: list[np.ndarray], options: Options) -> np.ndarray:
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     out = np.empty((len(sets), options.positions), dtype=np.uint16)
-    for j, (a, c) in enumerate(zip(*options.multipliers(), strict=True)):
+    for j, (a, c) in enumerate(zip(*options.multipliers(options.positions), strict=True)):
         least = np.minimum.reduceat((flat ^ c) * a, at)
         out[:, j] = (least & U64((1 << options.bits) - 1)).astype(np.uint16)
     return out
 
 
+def _long_signatures(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """(id, text), no text without words, to (id, long)."""
+    draws = list(zip(*options.multipliers(options.long_positions), strict=True))
+    for batch in batches:
+        for first, found in W.scans(batch.column(1), W.SPACED, lower=True):
+            sets = shingle_sets(found, options.shingle)
+            flat = np.concatenate(sets)
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+            out = np.empty((len(sets), options.long_positions), dtype=np.uint8)
+            for j, (a, c) in enumerate(draws):
+                out[:, j] = (np.minimum.reduceat((flat ^ c) * a, at) & U64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(sets)), pa.array([x.tobytes() for x in out], pa.binary())],
+                names=["id", "long"],
+            )
+
+
+def _compared(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """(cell, side, entry, id, component, signature, long), sorted by cell, to the pairs (a, b) of
+    different components that are within both distances. A cell has some members of one entry: of
+    side 0, which are compared with those of side 1 or, where there are none, with each other."""
+    held: list[pa.RecordBatch] = []
+    holds = np.zeros((len(options.entries()), options.positions), dtype=np.float32)
+    for tag, positions in enumerate(options.entries()):
+        holds[tag, list(positions)] = 1
+
+    def cells(whole: pa.Table) -> pa.RecordBatch:
+        n = whole.num_rows
+        cell, side, entry, ids, component = (whole.column(i).to_numpy() for i in range(5))
+        short = _matrix(whole.column(5), options)
+        long = np.frombuffer(b"".join(whole.column(6).to_pylist()), dtype=np.uint8).reshape(n, -1)
+        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        lows, highs = [], []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            here = np.arange(x, y)
+            left, right = here[side[x:y] == 0], here[side[x:y] == 1]
+            alone = not len(right)
+            for k, a in enumerate(left):
+                others = left[k + 1 :] if alone else right
+                others = others[component[others] != component[a]]
+                if not len(others):
+                    continue
+                others = others[(long[others] != long[a]).sum(axis=1) <= options.long_distance]
+                others = others[(short[others] != short[a]).sum(axis=1) <= options.distance]
+                if len(others):
+                    # the pair comes from the first entry that it shares
+                    apart = (short[others] != short[a]).astype(np.float32) @ holds.T
+                    others = others[(apart == 0).argmax(axis=1) == entry[a] & TAG_MASK]
+                    lows.append(np.minimum(ids[a], ids[others]))
+                    highs.append(np.maximum(ids[a], ids[others]))
+        none = [np.empty(0, dtype=np.int64)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(lows or none)), pa.array(np.concatenate(highs or none))], names=["a", "b"]
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # what may go on in the next batch is held back: the last cell
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        ends = np.flatnonzero(batch.column(0).to_numpy() != last)
+        n = int(ends[-1]) + 1 if len(ends) else 0
+        if held and (n or held[-1].column(0)[0].as_py() != last):
+            yield cells(pa.Table.from_batches([*held, batch.slice(0, n)] if n else held))
+            held = []
+        elif n:
+            yield cells(pa.Table.from_batches([batch.slice(0, n)]))
+        held.append(batch.slice(n))
+    if held:
+        yield cells(pa.Table.from_batches(held))
+
+
+def _entry_keys(signed: np.ndarray, tag: int, positions: tuple[int, ...]) -> np.ndarray:
+    """The keys of one index entry of some signatures; the low bits are the entry's number."""
+    key = np.full(len(signed), tag * 0x9E3779B97F4A7C15 & (2**64 - 1), dtype=U64)
+    for p in positions:
+        key = W.mixed(key ^ signed[:, p].astype(U64))
+    return ((key & ~U64(TAG_MASK)) | U64(tag)).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
     """(doc, text) to (doc, sum, n, signature); sum is a 128-bit hash of the set."""
     import xxhash
@@ -128,10 +213,8 @@ def _entered(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         signed = _matrix(batch.column(1), options)
         for tag, positions in enumerate(options.entries()):
-            key = np.full(len(ids), tag * 0x9E3779B97F4A7C15 & (2**64 - 1), dtype=U64)
-            for p in positions:
-                key = W.mixed(key ^ signed[:, p].astype(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["entry", "id"])
+            key = _entry_keys(signed, tag, positions)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["entry", "id"])
 
 
 def _matrix(column: pa.Array, options: Options) -> np.ndarray:
@@ -194,6 +277,41 @@ class _Search:
         shared = index.groupBy("entry").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
         return written(index.join(shared.select("entry"), "entry"), "near-entries")
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(doc, text) of the ids in ``ids`` (doc), which is a written table."""
+        few = ids.count() <= BROADCAST_IDS
+        return self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text")
+
+    def compared(self, members: DataFrame, open_: DataFrame) -> DataFrame:
+        """All pairs (a, b) of ``members`` (entry, id, component) that share an entry, are of
+        different components and are within both signature distances."""
+        options = self.options
+        members = written(members.join(open_.select("entry", "n"), "entry"), "near-members")
+        ids = written(members.select(F.col("id").alias("doc")).distinct(), "near-ids")
+        long = self.texts(ids).mapInArrow(lambda batches: _long_signatures(batches, options), "id long, long binary")
+        if self.repeated:
+            long = long.groupBy("id").agg(F.min("long").alias("long"))
+        signed = long.join(self.classes.select("id", "signature"), "id")
+        # an entry of more than BLOCK members is cut into blocks, and each pair of blocks is a cell
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        cells = (
+            members.withColumn("blocks", blocks)
+            .withColumn("block", block)
+            .select("*", other.alias("other"))
+            .withColumn("cell", F.xxhash64("entry", low, high))
+            .withColumn("side", F.when(F.col("block") == low, 0).otherwise(1))
+            .join(signed, "id")
+            .select("cell", "side", "entry", "id", "component", "signature", "long")
+        )
+        return (
+            cells.repartition("cell")
+            .sortWithinPartitions("cell")
+            .mapInArrow(lambda batches: _compared(batches, options), "a long, b long")
+        )
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate ``pairs`` (a, b) that are similar, on whole sets."""
         options = self.options
@@ -206,9 +324,7 @@ class _Search:
             "near-candidates",
         )
         ids = written(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-ids")
-        few = ids.count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text")
-        sets = texts.mapInArrow(lambda batches: _sets(batches, options), "id long, shingles binary")
+        sets = self.texts(ids).mapInArrow(lambda batches: _sets(batches, options), "id long, shingles binary")
         sets = written(sets.distinct() if self.repeated else sets, "near-sets")
         member = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"shingles_{x}"))
         return (
@@ -221,13 +337,12 @@ class _Search:
     def components(self) -> DataFrame:
         """(id, component) of the vertices that are not the least of their component."""
         entries = self.entries()
-        vertices = self.classes.count()
         found = tested = None
         for turn in range(PIVOT_ROUNDS + 1):
             members = entries.withColumn("component", F.col("id"))
             if found is not None:
                 members = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            # entries with members of more than one component, and the pairs that are left in them
+            # entries with members of more than one component
             parts = members.groupBy("entry", "component").count()
             open_ = written(
                 parts.groupBy("entry")
@@ -235,20 +350,18 @@ class _Search:
                 .filter("n * n > within"),
                 "near-open",
             )
-            left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0]
-            if not left:
+            if open_.isEmpty():
                 break
-            members = members.join(open_.select("entry"), "entry")
-            last = turn > 0 and left <= max(LEFT_AT_LEAST, LEFT_PER_VERTEX * vertices) or turn == PIVOT_ROUNDS
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            last = turn == PIVOT_ROUNDS
             if last:
-                other = members.select("entry", F.col("id").alias("a"), F.col("component").alias("of"))
-                pairs = members.join(other, "entry").filter("a < id and of != component")
+                pairs = self.compared(members, open_)
             else:
+                members = members.join(open_.select("entry"), "entry")
+                order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
                 pivots = members.groupBy("entry").agg(F.min_by(F.struct("id", "component"), order).alias("pivot"))
                 pivots = pivots.select("entry", F.col("pivot.id").alias("a"), F.col("pivot.component").alias("of"))
                 pairs = members.join(pivots, "entry").filter("a != id and of != component")
-            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+                pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs, "near-pairs")
