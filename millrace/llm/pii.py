@@ -267,7 +267,8 @@ def sanitised(df: DataFrame, text_col: str = "text", options: Disclosure = Discl
     ``[PHONE]``, disclosing terms ``[TERM]`` or nothing. Spans that overlap become one. A null text
     stays null."""
     columns = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    others = [F.col(f"`{c}`") for c in columns if c != text_col] or [F.lit(0).alias("none")]
+    rows = df.select(F.struct(*others).alias("row"), F.col(f"`{text_col}`").alias("text"))
     rows = with_spans(rows, "text", options, carry=["row", "text"])
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)])
     label = lambda s: F.when((s["kind"] == len(KINDS)) & (s["context"] == "removed"), "").otherwise(F.get(labels, s["kind"]))

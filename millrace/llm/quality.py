@@ -10,6 +10,7 @@ at most, however large the corpus) reach the driver.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -222,3 +223,14 @@ def judged(df: DataFrame, text_col: str = "text", model: VoteModel | None = None
         {"base_failed": base_failed(), "quality": 1 / (1 + F.exp(-log_odds(model)))}
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
     return unpacked(out, df.columns, [*FEATURES, "base_failed", "quality", "kept"])
+
+
+def kept_rows(df: DataFrame, text_col: str = "text", model: VoteModel | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that ``judged`` keeps, with the columns of ``df``."""
+    model = model or fit_votes(df, text_col)
+    out = with_features(packed(df), F.col("row").getField(text_col))
+    good = ~base_failed() & (1 / (1 + F.exp(-log_odds(model))) >= threshold)
+    # a filter stays above an observation; pushed down, it would work the features out again at each
+    # place where it names them
+    out = out.select("row", good.alias("good")).observe(f"quality-{uuid.uuid4().hex}", F.count_if("good").alias("kept"))
+    return out.filter("good").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
