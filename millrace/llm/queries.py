@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html, neardup, passages, pieces, pii, quality, sharding, urls, warc
+from millrace.llm import decontamination, html, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -59,7 +59,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), slop=2)
+    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id",
@@ -68,7 +68,6 @@ def op3_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -114,4 +113,10 @@ QUERIES = {
     "op10_sampled_pieces": op10_sampled_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+#: Shards, votes, learnt templates, disclosing terms, wrappers and sampled pieces have no SQL form.
+ORACLES: dict[str, str] = {
+    "op3_benchmark_phrases": oracles.OP3,
+    "op4_near_duplicates": oracles.OP4,
+    "op6_repeated_passages": oracles.OP6,
+    "op9_warc_round_trip": oracles.OP9,
+}
