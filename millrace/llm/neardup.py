@@ -11,8 +11,8 @@ Documents with equal sets are one vertex from the start. The members of an entry
 in the first rounds every entry compares its pivot with those members that are not yet in the
 pivot's component, which joins the groups of near copies. What is left (members of different
 components in one entry) is then compared in full, so that no link is lost: in blocks of bounded
-size, in place, on signatures that are longer and made for these vertices only. Only pairs that pass
-both distances leave a block, each from the first entry that it shares.
+size, in place, on signatures that are longer and made for these vertices only. The rows that are
+near another then come together once more with their whole sets; only links leave a block.
 """
 
 from __future__ import annotations
@@ -61,6 +61,13 @@ class Options:
                 out.append(tuple(p for p in chunk.tolist() if p not in left_out))
         return out
 
+    def holds(self) -> np.ndarray:
+        """Which positions each index entry holds, as zeros and ones."""
+        out = np.zeros((len(self.entries()), self.positions), dtype=np.float32)
+        for tag, positions in enumerate(self.entries()):
+            out[tag, list(positions)] = 1
+        return out
+
     def multipliers(self, positions: int) -> tuple[np.ndarray, np.ndarray]:
         draw = np.random.default_rng(self.seed + positions).integers(0, 2**64, size=(2, positions), dtype=U64)
         return draw[0] | U64(1), draw[1]
@@ -122,44 +129,12 @@ def _long_signatures(batches: Iterator[pa.RecordBatch], options: Options) -> Ite
             )
 
 
-def _compared(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
-    """(cell, side, entry, id, component, signature, long), sorted by cell, to the pairs (a, b) of
-    different components that are within both distances. A cell has some members of one entry: of
-    side 0, which are compared with those of side 1 or, where there are none, with each other."""
-    held: list[pa.RecordBatch] = []
-    holds = np.zeros((len(options.entries()), options.positions), dtype=np.float32)
-    for tag, positions in enumerate(options.entries()):
-        holds[tag, list(positions)] = 1
-
-    def cells(whole: pa.Table) -> pa.RecordBatch:
-        n = whole.num_rows
-        cell, side, entry, ids, component = (whole.column(i).to_numpy() for i in range(5))
-        short = _matrix(whole.column(5), options)
-        long = np.frombuffer(b"".join(whole.column(6).to_pylist()), dtype=np.uint8).reshape(n, -1)
-        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-        lows, highs = [], []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            here = np.arange(x, y)
-            left, right = here[side[x:y] == 0], here[side[x:y] == 1]
-            alone = not len(right)
-            for k, a in enumerate(left):
-                others = left[k + 1 :] if alone else right
-                others = others[component[others] != component[a]]
-                if not len(others):
-                    continue
-                others = others[(long[others] != long[a]).sum(axis=1) <= options.long_distance]
-                others = others[(short[others] != short[a]).sum(axis=1) <= options.distance]
-                if len(others):
-                    # the pair comes from the first entry that it shares
-                    apart = (short[others] != short[a]).astype(np.float32) @ holds.T
-                    others = others[(apart == 0).argmax(axis=1) == entry[a] & TAG_MASK]
-                    lows.append(np.minimum(ids[a], ids[others]))
-                    highs.append(np.maximum(ids[a], ids[others]))
-        none = [np.empty(0, dtype=np.int64)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(lows or none)), pa.array(np.concatenate(highs or none))], names=["a", "b"]
-        )
+CELL = "cell long, side int, entry long, id long, component long, signature binary, long binary"
 
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by cell, cut again where cells end."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -167,14 +142,73 @@ def _compared(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[p
         last = batch.column(0)[batch.num_rows - 1].as_py()
         ends = np.flatnonzero(batch.column(0).to_numpy() != last)
         n = int(ends[-1]) + 1 if len(ends) else 0
-        if held and (n or held[-1].column(0)[0].as_py() != last):
-            yield cells(pa.Table.from_batches([*held, batch.slice(0, n)] if n else held))
+        if n or held and held[-1].column(0)[0].as_py() != last:
+            yield pa.Table.from_batches([*held, batch.slice(0, n)])
             held = []
-        elif n:
-            yield cells(pa.Table.from_batches([batch.slice(0, n)]))
         held.append(batch.slice(n))
     if held:
-        yield cells(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _near_rows(whole: pa.Table, options: Options, holds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of cells that are within both distances of a row of another component, for each row
+    that has any. A cell has some members of one entry: of side 0, which are compared with those of
+    side 1 or, where there are none, with each other. A pair comes in the first entry it shares."""
+    n = whole.num_rows
+    cell, side, entry, _, component = (whole.column(i).to_numpy() for i in range(5))
+    short = _matrix(whole.column(5), options)
+    long = np.frombuffer(b"".join(whole.column(6).to_pylist()), dtype=np.uint8).reshape(n, -1)
+    cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        here = np.arange(x, y)
+        left, right = here[side[x:y] == 0], here[side[x:y] == 1]
+        alone = not len(right)
+        for k, a in enumerate(left):
+            others = left[k + 1 :] if alone else right
+            others = others[component[others] != component[a]]
+            if not len(others):
+                continue
+            others = others[(long[others] != long[a]).sum(axis=1) <= options.long_distance]
+            others = others[(short[others] != short[a]).sum(axis=1) <= options.distance]
+            if len(others):
+                apart = (short[others] != short[a]).astype(np.float32) @ holds.T
+                others = others[(apart == 0).argmax(axis=1) == entry[a] & TAG_MASK]
+            if len(others):
+                yield int(a), others
+
+
+def _involved(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """The rows of CELL, sorted by cell, that are near a row of another component in their cell."""
+    holds = options.holds()
+    for whole in _whole_cells(batches):
+        near = np.zeros(whole.num_rows, dtype=bool)
+        for a, others in _near_rows(whole, options, holds):
+            near[a] = near[others] = True
+        yield from whole.filter(pa.array(near)).combine_chunks().to_batches()
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
+    """CELL and shingles, sorted by cell, to the links (a, b): near rows with similar whole sets."""
+    holds = options.holds()
+    for whole in _whole_cells(batches):
+        ids = whole.column(3).to_numpy()
+        sets = [np.frombuffer(x, dtype=U64) for x in whole.column(7).to_pylist()]
+        lows, highs = [], []
+        for a, others in _near_rows(whole, options, holds):
+            for b in others:
+                if _similar(sets[a], sets[b], options):
+                    lows.append(min(ids[a], ids[b]))
+                    highs.append(max(ids[a], ids[b]))
+        yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["a", "b"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, options: Options) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < options.percent * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= options.percent * (len(x) + len(y) - both)
 
 
 def _entry_keys(signed: np.ndarray, tag: int, positions: tuple[int, ...]) -> np.ndarray:
@@ -244,9 +278,7 @@ def _linked(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.
     for batch in batches:
         good = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= options.percent * (len(x) + len(y) - both))
+            good.append(_similar(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64), options))
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
@@ -282,9 +314,16 @@ class _Search:
         few = ids.count() <= BROADCAST_IDS
         return self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text")
 
-    def compared(self, members: DataFrame, open_: DataFrame) -> DataFrame:
-        """All pairs (a, b) of ``members`` (entry, id, component) that share an entry, are of
-        different components and are within both signature distances."""
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the ids in ``ids`` (doc), which is a written table."""
+        options = self.options
+        sets = self.texts(ids).mapInArrow(lambda batches: _sets(batches, options), "id long, shingles binary")
+        return written(sets.distinct() if self.repeated else sets, "near-sets")
+
+    def links_in_place(self, members: DataFrame, open_: DataFrame) -> DataFrame:
+        """The links (a, b) among all ``members`` (entry, id, component) that share an entry and are
+        of different components. Cells are compared twice: on signatures alone, to find the rows
+        that are near another, and then, for these rows only, with their whole sets."""
         options = self.options
         members = written(members.join(open_.select("entry", "n"), "entry"), "near-members")
         ids = written(members.select(F.col("id").alias("doc")).distinct(), "near-ids")
@@ -306,11 +345,11 @@ class _Search:
             .join(signed, "id")
             .select("cell", "side", "entry", "id", "component", "signature", "long")
         )
-        return (
-            cells.repartition("cell")
-            .sortWithinPartitions("cell")
-            .mapInArrow(lambda batches: _compared(batches, options), "a long, b long")
-        )
+        sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+        near = written(sorted_(cells).mapInArrow(lambda batches: _involved(batches, options), CELL), "near-rows")
+        ids = written(near.select(F.col("id").alias("doc")).distinct(), "near-ids")
+        whole = sorted_(near.join(self.sets(ids), "id").select(*near.columns, "shingles"))
+        return whole.mapInArrow(lambda batches: _linked_in_cells(batches, options), "a long, b long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate ``pairs`` (a, b) that are similar, on whole sets."""
@@ -324,8 +363,7 @@ class _Search:
             "near-candidates",
         )
         ids = written(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-ids")
-        sets = self.texts(ids).mapInArrow(lambda batches: _sets(batches, options), "id long, shingles binary")
-        sets = written(sets.distinct() if self.repeated else sets, "near-sets")
+        sets = self.sets(ids)
         member = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"shingles_{x}"))
         return (
             near.join(member("a"), "a")
@@ -352,9 +390,8 @@ class _Search:
             )
             if open_.isEmpty():
                 break
-            last = turn == PIVOT_ROUNDS
-            if last:
-                pairs = self.compared(members, open_)
+            if turn == PIVOT_ROUNDS:
+                new = self.links_in_place(members, open_)
             else:
                 members = members.join(open_.select("entry"), "entry")
                 order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
@@ -362,16 +399,14 @@ class _Search:
                 pivots = pivots.select("entry", F.col("pivot.id").alias("a"), F.col("pivot.component").alias("of"))
                 pairs = members.join(pivots, "entry").filter("a != id and of != component")
                 pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = written(pairs, "near-pairs")
-            tested = pairs if tested is None else tested.unionAll(pairs)
-            new = self.links(pairs)
+                if tested is not None:
+                    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                pairs = written(pairs, "near-pairs")
+                tested = pairs if tested is None else tested.unionAll(pairs)
+                new = self.links(pairs)
             if found is not None:
                 new = new.unionAll(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
             found = components(new)
-            if last:
-                break
         return found
 
 
