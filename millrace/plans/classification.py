@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import labels
 from millrace.operators.ladder import Rule, first_evidence, ladder
 from millrace.plans.registry import query, table
 
@@ -68,3 +69,40 @@ def evidence_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), F.coalesce(source, F.lit("")).alias("source"))
+
+
+@query(
+    """
+    SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'offer' WHEN p_type LIKE 'STANDARD%' OR p_type LIKE 'SMALL%' THEN 'plain' ELSE 'other' END AS category,
+           CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE '3' END AS meaning, p_size % 4 < 3 AS known
+    FROM part
+    """
+)
+def prefix_and_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories by prefix, and codes with their meaning where it is known."""
+    category = labels.prefix_label(F.col("p_type"), [("PROMO", "offer"), ("STANDARD", "plain"), ("SMALL", "plain")], "other")
+    meaning, known = labels.decoded((F.col("p_size") % 4).cast("string"), {"0": "none", "1": "one", "2": "two"})
+    return table(spark, sf_dir, "part").select("p_partkey", category.alias("category"), meaning.alias("meaning"), known.alias("known"))
+
+
+@query(
+    """
+    SELECT p_partkey, list_filter(w, lambda t: t IN ('brass', 'tin', 'steel')) AS metals, list_filter(w, lambda t: t NOT IN ('brass', 'tin', 'steel')) AS rest
+    FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part)
+    """
+)
+def tag_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a group and the others, in their order."""
+    metals, rest = labels.partition_tags(F.split(F.lower("p_type"), " "), ["brass", "tin", "steel"])
+    return table(spark, sf_dir, "part").select("p_partkey", metals.alias("metals"), rest.alias("rest"))
+
+
+@query(
+    """
+    SELECT p_partkey, CASE WHEN contains(w, 'brass') THEN 'brass' WHEN contains(w, 'steel') THEN 'steel' WHEN contains(w, 'tin') THEN 'tin' END AS hit
+    FROM (SELECT p_partkey, lower(p_type) AS w FROM part)
+    """
+)
+def dictionary_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest dictionary word in a name."""
+    return table(spark, sf_dir, "part").select("p_partkey", labels.longest_hit(F.lower("p_type"), ["tin", "brass", "steel"]).alias("hit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.plans.registry import query, table
+from millrace.sources import pages
 
 
 @query(
@@ -95,3 +96,16 @@ def first_and_last_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("role", "turn").alias("last_role"),
         F.sum(F.length("text")).alias("n_chars"),
     )
+
+
+@query(
+    """
+    SELECT page_id, name, number FROM (SELECT page_id, lower(split_part(pair, '=', 1)) AS name, CAST(split_part(pair, '=', 2) AS BIGINT) AS number
+      FROM (SELECT page_id, unnest(regexp_extract_all(url, '[?&;]([A-Za-z_]+=[0-9]+)', 1)) AS pair FROM pages))
+    WHERE name = 'page'
+    """
+)
+def paging_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paging parameters with their numbers, found in links (here each page's own url as one)."""
+    linked = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<a href="'), F.col("url"), F.lit('">')).alias("html"))
+    return pages.paging_links(linked, keep=["page_id"]).select("page_id", "name", "number")
