@@ -178,15 +178,12 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
         .filter(F.col("n_both") >= options.support),
         "pii-joint",
     )
-    terms = joint.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
+    if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("certainty"), F.lit(0.0).alias("bits"))
     rows = texts.count()
-    each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    counts = (
-        each.join(F.broadcast(terms), "term", "left_semi") if n_terms <= BROADCAST_ROWS else each
-    ).groupBy("term").agg(F.count("*").alias("n_term"))
+    # all words are counted in place first, so that what meets the candidates is a vocabulary
+    each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
+    counts = texts.select(each).groupBy("term").agg(F.count("*").alias("n_term"))
     certainty = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     bits = F.log2(certainty / F.least(F.lit(1.0), F.col("n_entity") / F.lit(rows)))
     return (
