@@ -50,10 +50,6 @@ class Pieces:
     name: str = ""
 
 
-def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return W.Words(data, np.array([0, len(data)]), start, end, np.array([0, len(start)])).hashes()
-
-
 def load_pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
     """Tables of a SentencePiece model; its file is read on the driver only."""
     import sentencepiece
@@ -80,10 +76,10 @@ def load_pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
         raise ValueError("a piece has a space after other characters")
     ptr = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    by_length = {}
+    by_length, hashes = {}, W.Hashes(flat)
     for length in sorted({len(texts[i]) for i in plain}):
         ids = np.array([i for i in plain if len(texts[i]) == length], dtype=np.int32)
-        h = _hash(flat, ptr[ids], ptr[ids] + length)
+        h = hashes.of(ptr[ids], ptr[ids] + length)
         by_length[length] = (np.sort(h), ids[np.argsort(h)])
     alone = np.ones(256, dtype=bool)
     for i in plain:
@@ -95,20 +91,21 @@ def load_pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
 @dataclass
 class Lattices:
     """The lattices of different cuts of text. Cut c has the nodes ``base[c]`` (its start) to
-    ``base[c] + length[c]``; the edges into node v are ``edge_ptr[v]:edge_ptr[v + 1]``, and
-    ``chance`` is v plus their cumulative probability."""
+    ``base[c] + length[c]``; the edges into node v begin at ``ptr[v]``, and ``chance`` is v plus their
+    cumulative probability, so v + 1 for the last."""
 
     known: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=U64))
     which: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     base: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     length: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     nodes: int = 0
+    ptr: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     chance: np.ndarray = field(default_factory=lambda: np.empty(0))
     source: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     piece: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))
 
 
-def edges_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces):
+def edges_of(data: np.ndarray, all_hashes: W.Hashes, start: np.ndarray, end: np.ndarray, pieces: Pieces):
     """The edges of the cuts ``data[start:end]``: (source node, target node, piece, weight), with
     nodes counted through all cuts. Also the first node of each cut."""
     length = end - start
@@ -130,7 +127,7 @@ def edges_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Piece
             fit = np.flatnonzero((left >= width) & (size > 0) & (size <= width))
         if not len(fit):
             continue
-        h = _hash(data, at[fit], at[fit] + width)
+        h = all_hashes.of(at[fit], at[fit] + width)
         near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         hit = hashes[near] == h
         fit, found = fit[hit], ids[near[hit]]
@@ -193,7 +190,8 @@ def _looked_up(data, start, end, pieces: Pieces) -> tuple[Lattices, np.ndarray]:
     kept = _KEPT.get(pieces.name)
     if kept is None or len(kept.base) > KEPT_CUTS:
         kept = _KEPT[pieces.name] = Lattices()
-    h = _hash(data, start, end)
+    all_hashes = W.Hashes(data)
+    h = all_hashes.of(start, end)
     unique, example, inverse = np.unique(h, return_index=True, return_inverse=True)
     near = np.searchsorted(kept.known, unique)
     have = np.zeros(len(unique), dtype=bool)
@@ -201,15 +199,18 @@ def _looked_up(data, start, end, pieces: Pieces) -> tuple[Lattices, np.ndarray]:
     have[inside] = kept.known[near[inside]] == unique[inside]
     new = np.flatnonzero(~have)
     if len(new):
-        edges, base, length = edges_of(data, start[example[new]], end[example[new]], pieces)
+        edges, base, length = edges_of(data, all_hashes, start[example[new]], end[example[new]], pieces)
         chance, source, piece = filtered(edges, base, length)
         first = len(kept.base)
+        nodes = int((length + 1).sum())
+        into = np.bincount(np.ceil(chance).astype(np.int64) - 1, minlength=nodes) if len(chance) else np.zeros(nodes, np.int64)
+        kept.ptr = np.concatenate([kept.ptr, len(kept.piece) + np.cumsum(into) - into])
         kept.chance = np.concatenate([kept.chance, chance + kept.nodes])
         kept.source = np.concatenate([kept.source, source + kept.nodes])
         kept.piece = np.concatenate([kept.piece, piece])
         kept.base = np.concatenate([kept.base, base + kept.nodes])
         kept.length = np.concatenate([kept.length, length])
-        kept.nodes += int((length + 1).sum())
+        kept.nodes += nodes
         known = np.concatenate([kept.known, unique[new]])
         which = np.concatenate([kept.which, first + np.arange(len(new))])
         order = np.argsort(known)
@@ -250,7 +251,11 @@ def sampled(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
     while len(active):
         draw = (W.mixed(seed[active] ^ U64(turn * 0xD1342543DE82EF95 & (2**64 - 1))) >> U64(12)).astype(np.float64)
         at = node[active]
-        edge = np.searchsorted(kept.chance, at + draw * 2.0**-52, side="right")
+        drawn, edge = at + draw * 2.0**-52, kept.ptr[at]
+        behind = np.flatnonzero(kept.chance[edge] <= drawn)
+        while len(behind):  # a node has a few edges
+            edge[behind] += 1
+            behind = behind[kept.chance[edge[behind]] <= drawn[behind]]
         steps.append((active, kept.piece[edge]))
         count[active] += 1
         node[active] = kept.source[edge]

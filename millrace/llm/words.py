@@ -48,6 +48,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+class Hashes:
+    """64-bit hashes of parts of some bytes: a polynomial, mixed with the length."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        size = SLICE_BYTES if n <= SLICE_BYTES else n
+        power, self.inverse = _powers(_BASE, size + 1), _powers(_BASE_INV, size + 1)
+        self.total = np.zeros(n + 1, dtype=U64)
+        np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.total[end] - self.total[start]) * self.inverse[start]
+        return mixed(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 @dataclass
 class Words:
     """The words of some rows: word w is ``data[start[w]:end[w]]``; row r has the words
@@ -70,16 +85,8 @@ class Words:
         return np.repeat(np.arange(self.n_rows), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial, mixed with the length."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.empty(0, dtype=U64)
-        size = SLICE_BYTES if n <= SLICE_BYTES else n
-        power, inverse = _powers(_BASE, size + 1), _powers(_BASE_INV, size + 1)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * power[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mixed(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each word's bytes."""
+        return Hashes(self.data).of(self.start, self.end) if len(self.start) else np.empty(0, dtype=U64)
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, lower: bool = False) -> Words:
