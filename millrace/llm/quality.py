@@ -222,7 +222,13 @@ def judged(df: DataFrame, text_col: str = "text", model: VoteModel | None = None
     out = out.withColumns(
         {"base_failed": base_failed(), "quality": 1 / (1 + F.exp(-log_odds(model)))}
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return unpacked(out, df.columns, [*FEATURES, "base_failed", "quality", "kept"])
+    return unpacked(_observed(out, "kept"), df.columns, [*FEATURES, "base_failed", "quality", "kept"])
+
+
+def _observed(df: DataFrame, verdict: str) -> DataFrame:
+    """``df`` with an observation of how many rows have the verdict. Filters stay above it; pushed
+    below the features, they would work these out again at each place where they name them."""
+    return df.observe(f"quality-{uuid.uuid4().hex}", F.count_if(verdict).alias(verdict))
 
 
 def kept_rows(df: DataFrame, text_col: str = "text", model: VoteModel | None = None, threshold: float = 0.5) -> DataFrame:
@@ -230,7 +236,5 @@ def kept_rows(df: DataFrame, text_col: str = "text", model: VoteModel | None = N
     model = model or fit_votes(df, text_col)
     out = with_features(packed(df), F.col("row").getField(text_col))
     good = ~base_failed() & (1 / (1 + F.exp(-log_odds(model))) >= threshold)
-    # a filter stays above an observation; pushed down, it would work the features out again at each
-    # place where it names them
-    out = out.select("row", good.alias("good")).observe(f"quality-{uuid.uuid4().hex}", F.count_if("good").alias("kept"))
+    out = _observed(out.select("row", good.alias("good")), "good")
     return out.filter("good").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
