@@ -162,30 +162,36 @@ def entity_of(span: Column) -> Column:
 
 def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
     """(entity, term, certainty, bits) of the terms that exceed the thresholds. ``texts``: the
-    column text of all rows. ``held``: (entity, context) of the entities that they hold.
+    columns of (which is equal for equal texts) and text of all rows. ``held``: (of, entity,
+    context) of the entities that they hold.
 
-    Joint counts are of different contexts, so copies are no evidence; a term's own count is of
-    all rows that have it.
+    Support is counted in different contexts; probabilities are of different texts throughout, so
+    copies are no evidence for a term nor against it.
     """
-    contexts = held.select("entity", F.lower("context").alias("context")).distinct()
-    often = contexts.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= options.support)
+    held = held.select("of", "entity", F.lower("context").alias("context")).distinct()
+    contexts = held.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_contexts"))
+    often = (
+        held.select("of", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+        .join(contexts.filter(F.col("n_contexts") >= options.support), "entity", "left_semi")
+    )
     words = F.array_distinct(F.regexp_extract_all("context", F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
     joint = written(
-        contexts.join(often, "entity")
-        .select("entity", "n_entity", F.explode(words).alias("term"))
+        held.join(often, "entity")
+        .select("entity", "n_entity", "of", "context", F.explode(words).alias("term"))
         .groupBy("entity", "n_entity", "term")
-        .agg(F.count("*").alias("n_both"))
-        .filter(F.col("n_both") >= options.support),
+        .agg(F.count_distinct("of").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
+        .filter(F.col("n_contexts") >= options.support),
         "pii-joint",
     )
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("certainty"), F.lit(0.0).alias("bits"))
-    rows = texts.count()
+    n_texts = texts.select("of").distinct().count()
     # all words are counted in place first, so that what meets the candidates is a vocabulary
     each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
-    counts = texts.select(each).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = texts.select("of", "text").distinct().select(each).groupBy("term").agg(F.count("*").alias("n_term"))
+    # a word cut at the edge of a context may be rarer as a whole word
     certainty = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    bits = F.log2(certainty / F.least(F.lit(1.0), F.col("n_entity") / F.lit(rows)))
+    bits = F.log2(certainty / (F.col("n_entity") / F.lit(n_texts)))
     return (
         joint.join(counts, "term")
         .select("entity", "term", certainty.alias("certainty"), bits.alias("bits"))
@@ -219,7 +225,7 @@ def with_spans(
         .distinct(),
         "pii-entities",
     )
-    told = written(disclosing(rows.select("text"), held, options), "pii-terms")
+    told = written(disclosing(rows.select("of", "text"), held, options), "pii-terms")
     if told.isEmpty():
         return unpacked(found.withColumn("spans", F.col("base")), carry, ["base", "spans"])
     terms = written(
