@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
 Patterns find the protected entities of a text (addresses and numbers). The corpus then tells which
-terms give them away: a term's co-occurrence with an entity, over different contexts, estimates the
+terms give them away: a term's co-occurrence with an entity, over different texts, estimates the
 probability of the entity given the term and, against the entity's own probability, how many bits
 the term discloses. Terms beyond both thresholds become spans in the texts that hold the entity, and
 are generalised or, where they all but name it, removed.
@@ -45,7 +45,7 @@ SPAN = "struct<start:bigint,kind:int,end:bigint,value:string,context:string>"
 @dataclass(frozen=True)
 class Disclosure:
     """``context``: characters on each side of an entity; a term has ``letters`` letters at least
-    and occurs in ``support`` different contexts of the entity at least. It is a span if the
+    and occurs in ``support`` different texts with the entity, or contexts of it, at least. It is a span if the
     probability of the entity given the term reaches ``certainty`` and tells ``bits`` more than
     the entity's own probability; from ``removal`` on it is removed, below it generalised."""
 
@@ -165,22 +165,44 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
     columns of (which is equal for equal texts) and text of all rows. ``held``: (of, entity,
     context) of the entities that they hold.
 
-    Support is counted in different contexts; probabilities are of different texts throughout, so
-    copies are no evidence for a term nor against it.
+    A term occurs with an entity wherever a text holds both, however far apart. All counts are of
+    different texts, so copies are no evidence for a term nor against it; one text supports a term
+    as well that has it in enough different contexts of the entity.
     """
     held = held.select("of", "entity", F.lower("context").alias("context")).distinct()
-    contexts = held.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_contexts"))
-    often = (
-        held.select("of", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-        .join(contexts.filter(F.col("n_contexts") >= options.support), "entity", "left_semi")
+    contexts = held.select("entity", "context").distinct()
+    pairs = held.select("of", "entity").distinct()
+    often = written(
+        pairs.groupBy("entity")
+        .agg(F.count("*").alias("n_entity"))
+        .join(contexts.groupBy("entity").agg(F.count("*").alias("n_contexts")), "entity")
+        .filter(F.greatest("n_entity", "n_contexts") >= options.support)
+        .select("entity", "n_entity"),
+        "pii-often",
     )
-    words = F.array_distinct(F.regexp_extract_all("context", F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
-    joint = written(
-        held.join(often, "entity")
-        .select("entity", "n_entity", "of", "context", F.explode(words).alias("term"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
+    pairs = written(pairs.join(often, "entity"), "pii-pairs")
+    ids = pairs.select("of").distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    own = texts.join(F.broadcast(ids) if few else ids, "of", "left_semi").select("of", "text").distinct()
+    by_text = (
+        own.select("of", words(F.lower("text")).alias("words"))
+        .join(pairs, "of")
+        .select("entity", "n_entity", F.explode("words").alias("term"))
         .groupBy("entity", "n_entity", "term")
-        .agg(F.count_distinct("of").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-        .filter(F.col("n_contexts") >= options.support),
+        .agg(F.count("*").alias("n_both"))
+    )
+    by_context = (
+        contexts.join(often, "entity")
+        .select("entity", F.explode(words(F.col("context"))).alias("term"))
+        .groupBy("entity", "term")
+        .agg(F.count("*").alias("n_contexts"))
+        .filter(F.col("n_contexts") >= options.support)
+    )
+    joint = written(
+        by_text.join(by_context, ["entity", "term"], "left")
+        .filter((F.col("n_both") >= options.support) | F.col("n_contexts").isNotNull())
+        .select("entity", "n_entity", "term", "n_both"),
         "pii-joint",
     )
     if joint.isEmpty():
@@ -189,8 +211,7 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
     # all words are counted in place first, so that what meets the candidates is a vocabulary
     each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
     counts = texts.select("of", "text").distinct().select(each).groupBy("term").agg(F.count("*").alias("n_term"))
-    # a word cut at the edge of a context may be rarer as a whole word
-    certainty = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    certainty = F.col("n_both") / F.col("n_term")
     bits = F.log2(certainty / (F.col("n_entity") / F.lit(n_texts)))
     return (
         joint.join(counts, "term")

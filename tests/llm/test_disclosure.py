@@ -18,3 +18,18 @@ def test_copies_of_a_document_change_no_span(spark):
         more = spans(spark, NOTES + PLAIN + [(NOTES + PLAIN)[copied]] * 1000)
         assert {i: more[i] for i in once} == once
         assert all(more[i] == once[copied] for i in more if i not in once)
+
+
+def test_terms_far_from_the_entity_are_found(spark):
+    # words between that many texts have, so that only the name gives the address away
+    filler = "common words of every letter " * 20
+    letters = [f"Zebulon {filler}{'alpha beta gamma delta'.split()[i]} {filler} zeb@example.org" for i in range(4)]
+    found = spans(spark, letters + [f"{filler}{text}" for text in PLAIN])
+    assert all((0, len(pii.KINDS), 7, "removed") in found[i] for i in range(4))
+    assert all(len(found[i]) == 2 for i in range(4)) and not any(found[4 + i] for i in range(60))
+
+
+def test_one_text_supports_a_term_in_different_contexts(spark):
+    text = " ".join(f"Zebulon at zeb@example.org {'alpha beta gamma delta'.split()[i]} {'x ' * 60}" for i in range(4))
+    found = spans(spark, [text, *PLAIN])
+    assert sum(kind == len(pii.KINDS) for _, kind, _, _ in found[0]) == 4
