@@ -1,8 +1,9 @@
 """URL filters: host rules, and a path-template tree for the urls that no rule fits.
 
-Per host, the segments of the paths form a tree. Level by level, segments that are rare among
-their siblings are generalised into one wildcard, the siblings that stay are merged where their
-labelled shares do not differ by more than chance, and a template (a leaf of the generalised tree)
+Per host, the segments of the paths form a tree. Level by level until the paths end, segments that
+vary (few urls have one, few segments follow it, and no labels tell of it) are generalised into one
+wildcard, the siblings that stay are merged where their labelled shares do not differ by more than
+chance, and a template (a leaf of the generalised tree)
 is rejected if its smoothed share of bad labels reaches a threshold. Labels are what the host rules
 say of the urls that they fit, or a column of the caller's.
 
@@ -22,11 +23,9 @@ from millrace.llm.shared import unpacked, written
 #: verdict, host and path of a rule; the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Levels of the tree; what a path has beyond them is one segment.
-DEPTH = 4
-#: A segment stays literal if at least this share of its siblings' urls has it; at most
-#: 1 / MIN_SHARE siblings do.
-MIN_SHARE = 0.02
+#: A segment stays literal if so many urls have it, or so many different segments follow it.
+MIN_URLS = 20
+MIN_KIDS = 20
 #: Siblings are merged if their bad shares differ by less than this many standard errors.
 MERGE_Z = 1.96
 #: Reject a template if (bad + SMOOTHING * 0.5) / (labelled + SMOOTHING) reaches REJECT.
@@ -56,25 +55,21 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return which, verdict
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """The segments of a path, with numbers, dates and hashes as wildcards; the segments beyond
-    ``depth`` are one."""
+def shape_of(path: Column) -> Column:
+    """The segments of a path, with numbers, dates and hashes as wildcards."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    generalised = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(s.rlike(r"^[0-9][0-9._-]*(\.[A-Za-z]{1,5})?$"), WILD)
         .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), WILD)
         .otherwise(s),
     )
-    return F.when(
-        F.size(generalised) > depth, F.concat(F.slice(generalised, 1, depth - 1), F.array(F.lit("**")))
-    ).otherwise(generalised)
 
 
 @dataclass(frozen=True)
 class Options:
-    depth: int = DEPTH
-    min_share: float = MIN_SHARE
+    min_urls: int = MIN_URLS
+    min_kids: int = MIN_KIDS
     merge_z: float = MERGE_Z
     smoothing: float = SMOOTHING
     reject: float = REJECT
@@ -84,50 +79,59 @@ def templates(counts: DataFrame, options: Options = Options()) -> DataFrame:
     """``counts`` (host, shape, n, bad, good for each distinct host and shape) with ``template``
     and ``purity`` added: the generalised path, and its smoothed share of bad labels.
 
-    Level by level: a node's children are counted by value, those under ``min_share`` become the
-    wildcard, and each child that is left is merged into the child of its node with the most urls
-    if both have labels and their bad shares are alike, or neither has labels.
+    Level by level: a node's children are counted by value. One stays literal if it has
+    ``min_urls`` urls or ``min_kids`` different segments below it, if it has labels and paths go on
+    below it, or if it has labels enough to be rejected by itself; others become the wildcard.
+    Each literal child is merged into that of its node with the most urls if both have labels and
+    their bad shares are alike, or neither has labels; the wildcard is merged with none.
+
+    A node is not divided further once its paths have ended or are one, or once it has no bad
+    label, as then nothing below it can be rejected (while ``reject`` is above one half).
     """
-    tree = counts.withColumn("template", F.lit(""))
-    for level in range(options.depth):
-        tree = tree.withColumn("value", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
-        values = tree.groupBy("host", "template", "value").agg(
-            *[F.sum(c).alias(c) for c in ("n", "bad", "good")]
-        )
-        nodes = values.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        children = (
-            values.join(nodes, ["host", "template"])
-            .withColumn("child", F.when(F.col("n") >= options.min_share * F.col("all"), F.col("value")).otherwise(WILD))
-            .groupBy("host", "template", "child")
-            .agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    node = ["host", "template"]
+    active, level, done = counts.withColumn("template", F.lit("")), 0, []
+    while True:
+        size = F.size("shape")
+        whole = F.max(size) <= level
+        whole = whole | (F.count("*") == 1)
+        if options.reject > 0.5:
+            whole = whole | (F.sum("bad") == 0)
+        stops = active.groupBy(*node).agg(whole.alias("whole"))
+        marked = written(active.join(stops, node), "url-nodes")
+        done.append(marked.filter("whole").drop("whole"))
+        active = marked.filter(~F.col("whole")).drop("whole")
+        if active.isEmpty():
+            break
+        tree = active.withColumns(
+            {"value": F.coalesce(F.get("shape", F.lit(level)), F.lit("")), "next": F.get("shape", F.lit(level + 1))}
         )
-        # 1 / min_share literal children and a wildcard at most, so the lists are short
-        kids = children.groupBy("host", "template").agg(
-            F.max_by(F.struct("child", "bad", "good"), F.struct("n", "child")).alias("first"),
-            F.collect_list(F.struct("child", "bad", "good")).alias("kids"),
+        below = tree.groupBy(*node, "value", "next").agg(*sums)
+        values = below.groupBy(*node, "value").agg(*sums, F.count("next").alias("kids"))
+        labels = F.col("bad") + F.col("good")
+        enough = labels + 0.5 * options.smoothing >= options.reject * (labels + options.smoothing)
+        literal = (
+            (F.col("n") >= options.min_urls)
+            | (F.col("kids") >= options.min_kids)
+            | (labels > 0) & ((F.col("kids") > 0) | enough)
         )
-        to = F.map_from_entries(
-            F.transform(
-                "kids",
-                lambda kid: F.struct(
-                    kid["child"],
-                    F.when(_alike(kid, F.col("first"), options.merge_z), F.col("first.child")).otherwise(kid["child"]),
-                ),
-            )
+        values = written(values.withColumn("child", F.when(literal, F.col("value")).otherwise(WILD)), "url-values")
+        kept = values.filter(F.col("child") != WILD)
+        first = kept.groupBy(*node).agg(F.max_by(F.struct("child", "bad", "good"), F.struct("n", "child")).alias("first"))
+        alike = (F.col("child") != WILD) & _alike(F.struct("bad", "good"), F.col("first"), options.merge_z)
+        to = values.join(first, node, "left").select(
+            *node, "value", F.when(alike, F.col("first.child")).otherwise(F.col("child")).alias("to")
         )
-        tree = written(
-            tree.join(kids.select("host", "template", to.alias("to")), ["host", "template"]).select(
-                *counts.columns,
-                F.concat(
-                    "template",
-                    F.lit("/"),
-                    F.coalesce(F.try_element_at("to", F.col("value")), F.try_element_at("to", F.lit(WILD))),
-                ).alias("template"),
-            ),
+        active = written(
+            tree.join(to, [*node, "value"]).select(*counts.columns, F.concat("template", F.lit("/"), "to").alias("template")),
             "url-level",
         )
-    purity = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    return tree.join(purity, ["host", "template"]).select(
+        level += 1
+    tree = done[0]
+    for more in done[1:]:
+        tree = tree.unionByName(more)
+    purity = tree.groupBy(*node).agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
+    return tree.join(purity, node).select(
         *counts.columns,
         "template",
         ((F.col("b") + 0.5 * options.smoothing) / (F.col("b") + F.col("g") + options.smoothing)).alias("purity"),
@@ -166,7 +170,7 @@ def judged(
     marked = marked.withColumns({"host": host_of(url), "path": path_of(url)})
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     marked = marked.withColumns({"rule": rule, "says": says})
-    marked = marked.withColumn("shape", shape_of(F.col("path"), options.depth))
+    marked = marked.withColumn("shape", shape_of(F.col("path")))
     bad = F.col("label") if label is not None else F.col("says") == "block"
     counts = written(
         marked.select("host", "shape", bad.alias("isbad"))
