@@ -14,7 +14,7 @@ what no piece covers is written in byte pieces, so decoding gives back every tex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,12 @@ SEED = 20
 ZIPF_OFFSET = 10.0
 #: How much less than the rarest piece a byte piece weighs, as a natural logarithm.
 BYTE_PENALTY = 5.0
-#: Different cuts of text whose lattices a Python worker keeps.
-KEPT_CUTS = 400_000
+#: Bytes of the lattices that a Python worker keeps; beyond them it starts anew.
+KEPT_BYTES = 32 << 20
+#: Bytes of text whose lattices are worked out together, and that are sampled together.
+NEW_BYTES, SAMPLED_BYTES = 64 << 10, 256 << 10
+#: A longer cut of text is drawn alone, in windows of so many bytes, and not kept.
+LONG_CUT, WINDOW = 128, 32 << 10
 
 
 @dataclass
@@ -88,21 +92,56 @@ def load_pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
     return Pieces(by_length, weight, byte_ids, least - BYTE_PENALTY, flat, ptr, alone, f"{model_file}|{sharpness}")
 
 
-@dataclass
+class Growing:
+    """An array that grows at its end, by doubling."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.empty(1024, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            more = np.empty(max(n, 2 * len(self.room)), dtype=self.room.dtype)
+            more[: self.n] = self.room[: self.n]
+            self.room = more
+        self.room[self.n : n] = values
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Lattices:
     """The lattices of different cuts of text. Cut c has the nodes ``base[c]`` (its start) to
-    ``base[c] + length[c]``; the edges into node v begin at ``ptr[v]``, and ``chance`` is v plus their
-    cumulative probability, so v + 1 for the last."""
-
-    known: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=U64))
-    which: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    base: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    length: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    nodes: int = 0
-    ptr: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    chance: np.ndarray = field(default_factory=lambda: np.empty(0))
-    source: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
-    piece: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))
+    ``base[c] + length[c]``; the edges into node v are from ``ptr[v]`` on, and ``chance`` is their
+    cumulative probability, so 1 for the last."""
+
+    def __init__(self):
+        self.known, self.which = np.empty(0, dtype=U64), np.empty(0, dtype=np.int32)
+        self.base, self.length = Growing(np.int32), Growing(np.int32)
+        self.ptr, self.source, self.piece = Growing(np.int32), Growing(np.int32), Growing(np.int32)
+        self.chance = Growing(np.float64)
+
+    def bytes(self) -> int:
+        return 16 * self.chance.n + 4 * self.ptr.n + 20 * self.base.n
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> None:
+        """Adds the lattices of the cuts ``data[start:end]``, whose hashes are not known yet."""
+        edges, base, length = edges_of(data, W.Hashes(data), start, end, pieces)
+        chance, source, target, piece = filtered(edges, base, length)
+        first, nodes = self.base.n, self.ptr.n
+        into = np.bincount(target, minlength=int((length + 1).sum()))
+        self.ptr.add(self.chance.n + np.cumsum(into) - into)
+        self.chance.add(chance)
+        self.source.add(source + nodes)
+        self.piece.add(piece)
+        self.base.add(base + nodes)
+        self.length.add(length)
+        known = np.concatenate([self.known, hashes])
+        which = np.concatenate([self.which, np.arange(first, self.base.n, dtype=np.int32)])
+        order = np.argsort(known)
+        self.known, self.which = known[order], which[order]
 
 
 def edges_of(data: np.ndarray, all_hashes: W.Hashes, start: np.ndarray, end: np.ndarray, pieces: Pieces):
@@ -140,9 +179,9 @@ def edges_of(data: np.ndarray, all_hashes: W.Hashes, start: np.ndarray, end: np.
     return [np.concatenate(x) for x in zip(*out, strict=True)], base, length
 
 
-def filtered(edges, base: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def filtered(edges, base: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Forward filtering: the edges that lie on a path from their cut's start, sorted by target, as
-    (chance, source, piece); chance is the target plus the cumulative probability of its edges."""
+    (chance, source, target, piece); chance is the cumulative probability of the target's edges."""
     source, target, piece, weight = edges
     nodes = int((length + 1).sum())
     place = np.arange(nodes) - np.repeat(base, length + 1)
@@ -173,13 +212,13 @@ def filtered(edges, base: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, n
     live = share > 0
     source, target, piece, share = source[live], target[live], piece[live], share[live]
     if not len(source):
-        return np.empty(0), source, piece
+        return np.empty(0), source, target, piece
     upto = np.cumsum(share)
     head = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
     before = np.repeat(upto[head] - share[head], np.diff(np.append(head, len(target))))
     chance = np.minimum(upto - before, 1.0)
     chance[np.append(head[1:], len(target)) - 1] = 1.0
-    return target + chance, source, piece
+    return chance, source, target, piece
 
 
 _KEPT: dict[str, Lattices] = {}
@@ -188,37 +227,111 @@ _KEPT: dict[str, Lattices] = {}
 def _looked_up(data, start, end, pieces: Pieces) -> tuple[Lattices, np.ndarray]:
     """The lattices kept by this worker with those of the given cuts added, and each cut's."""
     kept = _KEPT.get(pieces.name)
-    if kept is None or len(kept.base) > KEPT_CUTS:
+    if kept is None or kept.bytes() > KEPT_BYTES:
         kept = _KEPT[pieces.name] = Lattices()
-    all_hashes = W.Hashes(data)
-    h = all_hashes.of(start, end)
-    unique, example, inverse = np.unique(h, return_index=True, return_inverse=True)
+    unique, example, inverse = np.unique(W.Hashes(data).of(start, end), return_index=True, return_inverse=True)
     near = np.searchsorted(kept.known, unique)
     have = np.zeros(len(unique), dtype=bool)
     inside = near < len(kept.known)
     have[inside] = kept.known[near[inside]] == unique[inside]
     new = np.flatnonzero(~have)
     if len(new):
-        edges, base, length = edges_of(data, all_hashes, start[example[new]], end[example[new]], pieces)
-        chance, source, piece = filtered(edges, base, length)
-        first = len(kept.base)
-        nodes = int((length + 1).sum())
-        into = np.bincount(np.ceil(chance).astype(np.int64) - 1, minlength=nodes) if len(chance) else np.zeros(nodes, np.int64)
-        kept.ptr = np.concatenate([kept.ptr, len(kept.piece) + np.cumsum(into) - into])
-        kept.chance = np.concatenate([kept.chance, chance + kept.nodes])
-        kept.source = np.concatenate([kept.source, source + kept.nodes])
-        kept.piece = np.concatenate([kept.piece, piece])
-        kept.base = np.concatenate([kept.base, base + kept.nodes])
-        kept.length = np.concatenate([kept.length, length])
-        kept.nodes += nodes
-        known = np.concatenate([kept.known, unique[new]])
-        which = np.concatenate([kept.which, first + np.arange(len(new))])
-        order = np.argsort(known)
-        kept.known, kept.which = known[order], which[order]
+        low, high = start[example[new]], end[example[new]]
+        turn = np.cumsum(high - low) // NEW_BYTES
+        for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(turn)) + 1):
+            kept.add(unique[new[part]], data, low[part], high[part], pieces)
         near = np.searchsorted(kept.known, unique)
     return kept, kept.which[near][inverse]
 
 
+def _boundary(data: np.ndarray, at: int) -> int:
+    """The last start of a character at or before ``at``."""
+    while at > 0 and at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+class LongCut:
+    """The lattice of one long cut, of which only a window is held at a time. The forward pass keeps
+    the sums at the windows' starts; the backward pass makes each window's again from them. Sums
+    are scaled in each window, which changes no probability."""
+
+    def __init__(self, data: np.ndarray, pieces: Pieces):
+        self.data, self.pieces = data, pieces
+        self.reach = max(pieces.by_length)
+        self.starts = [0]
+        while self.starts[-1] + WINDOW < len(data):
+            self.starts.append(_boundary(data, self.starts[-1] + WINDOW))
+        self.ends = [*self.starts[1:], len(data)]
+        self.sums: list[tuple[int, list[float]]] = []
+
+    def window(self, k: int, low: int, before: list[float]):
+        """The edges into the places of window ``k``, by place, with the mass of each (what it adds to
+        its place's sum), and the sums from ``low`` on; ``before``: those up to the window's start."""
+        first, last = self.starts[k], self.ends[k]
+        part = self.data[low:last]
+        edges, _, _ = edges_of(part, W.Hashes(part), np.array([0]), np.array([last - low]), self.pieces)
+        source, target, piece, weight = edges
+        late = target > first - low
+        source, target, piece, mass = source[late], target[late], piece[late], np.exp(weight[late])
+        order = np.lexsort((source, target))
+        source, piece, mass = source[order].tolist(), piece[order].tolist(), mass[order].tolist()
+        into = np.bincount(target, minlength=last - low + 1)
+        ptr = np.concatenate([[0], np.cumsum(into)]).tolist()
+        sums = before + [0.0] * (last - first)
+        for v in range(first - low + 1, last - low + 1):
+            total = 0.0
+            for e in range(ptr[v], ptr[v + 1]):
+                mass[e] *= sums[source[e]]
+                total += mass[e]
+            if 0.0 < total < 1e-200:  # what is behind the reach of a piece is never read again
+                for u in range(max(0, v - self.reach), v):
+                    sums[u] *= 1e150
+                total *= 1e150
+            sums[v] = total
+        return ptr, source, piece, mass, sums
+
+    def forward(self) -> None:
+        low, before = 0, [1.0]
+        for k, last in enumerate(self.ends):
+            self.sums.append((low, before))
+            if k + 1 < len(self.ends):
+                sums = self.window(k, low, before)[-1]
+                after = _boundary(self.data, max(0, last - self.reach))
+                low, before = after, sums[after - low :]
+
+    def drawn(self, seed: np.ndarray) -> list[int]:
+        """The pieces of one segmentation, from the end, drawn from the hashes of ``seed``."""
+        self.forward()
+        out: list[int] = []
+        at, draws = len(self.data), []
+        for k in range(len(self.ends) - 1, -1, -1):
+            low, before = self.sums[k]
+            ptr, source, piece, mass, _ = self.window(k, low, before)
+            while at > self.starts[k]:
+                if len(out) == len(draws):
+                    turns = np.arange(len(out), len(out) + 4096, dtype=U64)
+                    draws += _draws(seed, turns).tolist()
+                edges = range(ptr[at - low], ptr[at - low + 1])
+                # masses of one place are of one scale; that of its sum may have changed since
+                left, taken = draws[len(out)] * sum(mass[e] for e in edges), -1
+                for e in edges:
+                    if mass[e] > 0.0:
+                        taken = e
+                        left -= mass[e]
+                        if left < 0.0:
+                            break
+                out.append(piece[taken])
+                at = low + source[taken]
+        return out
+
+
+def _draws(seed: np.ndarray, turn) -> np.ndarray:
+    """Numbers in [0, 1) for turns of draws."""
+    mixed = W.mixed(seed ^ np.asarray(turn, dtype=U64) * U64(0xD1342543DE82EF95))
+    return (mixed >> U64(12)).astype(np.float64) * 2.0**-52
+
+
 def cuts_of(data: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> np.ndarray:
     """The starts of the cuts of some rows."""
     n = len(data)
@@ -238,34 +351,53 @@ def sampled(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
     if not len(start):
         return np.empty(0, dtype=np.int32), np.zeros(len(offsets), dtype=np.int64)
     end = np.append(start[1:], len(data))
-    kept, which = _looked_up(data, start, end, pieces)
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     ordinal = (np.arange(len(start)) - first[row]).astype(U64)
     seed = W.mixed(W.mixed(keys)[row] + ordinal * U64(0x9E3779B97F4A7C15))
-    node, floor = kept.base[which] + kept.length[which], kept.base[which]
+    # long cuts come alone, others some at a time
+    long = end - start > LONG_CUT
+    turn = np.cumsum(end - start) // SAMPLED_BYTES
+    new = (np.diff(turn) > 0) | long[1:] | long[:-1]
+    out, count = [], []
+    for part in np.split(np.arange(len(start)), np.flatnonzero(new) + 1):
+        low, high = start[part[0]], end[part[-1]]
+        if long[part[0]]:
+            drawn = LongCut(data[low:high], pieces).drawn(seed[part])
+            out.append(np.array(drawn[::-1], dtype=np.int32))
+            count.append(np.array([len(drawn)]))
+        else:
+            for found, n in zip((out, count), _together(data[low:high], start[part] - low, end[part] - low, seed[part], pieces), strict=True):
+                found.append(n)
+    upto = np.concatenate([[0], np.cumsum(np.concatenate(count))])
+    return np.concatenate(out), upto[first]
+
+
+def _together(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of some cuts, and how many each has."""
+    kept, which = _looked_up(data, start, end, pieces)
+    ptr, chance, source, piece = kept.ptr.all, kept.chance.all, kept.source.all, kept.piece.all
+    floor = kept.base.all[which].astype(np.int64)
+    node = floor + kept.length.all[which]
     active = np.arange(len(start))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     count = np.zeros(len(start), dtype=np.int64)
-    turn = 0
     while len(active):
-        draw = (W.mixed(seed[active] ^ U64(turn * 0xD1342543DE82EF95 & (2**64 - 1))) >> U64(12)).astype(np.float64)
-        at = node[active]
-        drawn, edge = at + draw * 2.0**-52, kept.ptr[at]
-        behind = np.flatnonzero(kept.chance[edge] <= drawn)
+        drawn = _draws(seed[active], len(steps))
+        edge = ptr[node[active]]
+        behind = np.flatnonzero(chance[edge] <= drawn)
         while len(behind):  # a node has a few edges
             edge[behind] += 1
-            behind = behind[kept.chance[edge[behind]] <= drawn[behind]]
-        steps.append((active, kept.piece[edge]))
+            behind = behind[chance[edge[behind]] <= drawn[behind]]
+        steps.append((active, piece[edge]))
         count[active] += 1
-        node[active] = kept.source[edge]
+        node[active] = source[edge]
         active = active[node[active] > floor[active]]
-        turn += 1
     upto = np.concatenate([[0], np.cumsum(count)])
     out = np.empty(upto[-1], dtype=np.int32)
-    for turn, (which_cut, piece) in enumerate(steps):
-        out[upto[which_cut + 1] - 1 - turn] = piece
-    return out, upto[first]
+    for turn, (cut, taken) in enumerate(steps):
+        out[upto[cut + 1] - 1 - turn] = taken
+    return out, count
 
 
 def decoded_bytes(ids: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -276,18 +408,30 @@ def decoded_bytes(ids: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple
     return pieces.flat[at], upto[offsets]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa.RecordBatch]:
-    """(row, key, text) to (row, tokens)."""
+def _token_lists(text: pa.Array, keys: np.ndarray, pieces: Pieces) -> tuple[pa.Array, pa.Array]:
+    """The tokens of some texts (null for null), and whether each decodes to its text."""
+    data, at = W.text_bytes(text)
+    ids, offsets = sampled(data, at, keys, pieces)
+    back, ends = decoded_bytes(ids, offsets, pieces)
+    if len(back) == len(data) and (ends == at).all() and (back == data).all():
+        lossless = np.ones(len(text), dtype=bool)
+    else:
+        lossless = np.array([back[ends[i] : ends[i + 1]].tobytes() == data[at[i] : at[i + 1]].tobytes() for i in range(len(text))])
+    mask = text.is_null() if text.null_count else None
+    tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask)
+    return tokens, pa.array(lossless, mask=None if mask is None else mask.to_numpy(zero_copy_only=False))
+
+
+def _encode(batches: Iterator[pa.RecordBatch], shared, seed: int, check: bool) -> Iterator[pa.RecordBatch]:
+    """(row, key, text) to (row, tokens) or, with ``check``, to (row, tokens, lossless)."""
     pieces: Pieces = shared.value
     for batch in batches:
         keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) ^ W.mixed(np.array([seed], U64))
-        for first, n in W.slices(batch.column(2)):
-            text = batch.column(2).slice(first, n)
-            ids, offsets = sampled(*W.text_bytes(text), keys[first : first + n], pieces)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-            if text.null_count:
-                tokens = pa.array([None if t is None else x for t, x in zip(text.to_pylist(), tokens.to_pylist(), strict=True)], tokens.type)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), tokens], names=["row", "tokens"])
+        for first, n in W.slices(batch.column(2), SAMPLED_BYTES):
+            tokens, lossless = _token_lists(batch.column(2).slice(first, n), keys[first : first + n], pieces)
+            columns = {"row": batch.column(0).slice(first, n), "tokens": tokens, "lossless": lossless}
+            names = list(columns) if check else ["row", "tokens"]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -314,6 +458,21 @@ def share(spark: SparkSession, pieces: Pieces):
     return spark.sparkContext.broadcast(pieces)
 
 
+def _encoded(df: DataFrame, pieces: Pieces, text_col: str, key_cols: tuple[str, ...], seed: int, carry: list[str] | None, check: bool) -> DataFrame:
+    carry = df.columns if carry is None else carry
+    shared = share(df.sparkSession, pieces)
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in key_cols]).alias("key"),
+        F.col(f"`{text_col}`").alias("text"),
+    )
+    schema = rows.select("row").schema.add("tokens", ArrayType(IntegerType()))
+    added = ["tokens"]
+    if check:
+        schema, added = schema.add("lossless", "boolean"), ["tokens", "lossless"]
+    return unpacked(rows.mapInArrow(lambda batches: _encode(batches, shared, seed, check), schema), carry, added)
+
+
 def encode(
     df: DataFrame,
     pieces: Pieces,
@@ -326,15 +485,21 @@ def encode(
     the row's key. Rows of one key and text have equal tokens; a null text has null tokens, an
     empty one none. Null keys are keys as others. An empty table gives an empty result; an input
     column named tokens is replaced."""
-    carry = df.columns if carry is None else carry
-    shared = share(df.sparkSession, pieces)
-    rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in key_cols]).alias("key"),
-        F.col(f"`{text_col}`").alias("text"),
-    )
-    schema = rows.select("row").schema.add("tokens", ArrayType(IntegerType()))
-    return unpacked(rows.mapInArrow(lambda batches: _encode(batches, shared, seed), schema), carry, ["tokens"])
+    return _encoded(df, pieces, text_col, key_cols, seed, carry, False)
+
+
+def encode_checked(
+    df: DataFrame,
+    pieces: Pieces,
+    text_col: str = "text",
+    key_cols: tuple[str, ...] = ("doc_id",),
+    seed: int = SEED,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """As ``encode``, with ``lossless`` added: whether the tokens decode to the text's bytes (null
+    for a null text). Tokens are decoded where they are made, so no second Python worker and no
+    second copy of the text is needed."""
+    return _encoded(df, pieces, text_col, key_cols, seed, carry, True)
 
 
 def decode(df: DataFrame, pieces: Pieces, tokens_col: str = "tokens", carry: list[str] | None = None) -> DataFrame:

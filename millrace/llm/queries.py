@@ -82,21 +82,20 @@ def op5_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_path() -> str:
-    """The SentencePiece model of the queries: the public one of this machine."""
-    import public_tokenizers
+#: The SentencePiece model of the queries where the session's setting ``spark.millrace.pieces.model``
+#: names no other.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get("spark.millrace.pieces.model", MODEL)
 
 
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary = pieces.load_pieces(model_path())
-    tokens = pieces.encode(docs.withColumn("crc", F.xxhash64("text")), vocabulary, carry=["doc_id", "crc"])
-    tokens = tokens.withColumns({"n_tokens": F.size("tokens").cast("long"), "tokens_hash": F.xxhash64("tokens")})
-    decoded = pieces.decode(tokens, vocabulary, carry=["doc_id", "crc", "n_tokens", "tokens_hash"])
-    return decoded.select(
-        "doc_id", "n_tokens", "tokens_hash", (F.xxhash64("decoded") == F.col("crc")).alias("lossless")
+    tokens = pieces.encode_checked(docs, pieces.load_pieces(model_path(spark)), carry=["doc_id"])
+    return tokens.select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("tokens_hash"), "lossless"
     )
 
 

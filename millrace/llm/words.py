@@ -34,13 +34,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U64)
     out[0] = 1
     return np.cumprod(out, dtype=U64)
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers for a slice; those for a single longer text are made for it and not kept."""
+    return _powers(_BASE, SLICE_BYTES + 1), _powers(_BASE_INV, SLICE_BYTES + 1)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -53,8 +58,10 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        size = SLICE_BYTES if n <= SLICE_BYTES else n
-        power, self.inverse = _powers(_BASE, size + 1), _powers(_BASE_INV, size + 1)
+        if n <= SLICE_BYTES:
+            power, self.inverse = _kept_powers()
+        else:
+            power, self.inverse = _powers(_BASE, n + 1), _powers(_BASE_INV, n + 1)
         self.total = np.zeros(n + 1, dtype=U64)
         np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=self.total[1:])
 
@@ -119,12 +126,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of pieces of about SLICE_BYTES; every row in one piece, whole."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of pieces of about ``size`` bytes; every row in one piece, whole."""
     _, offsets = text_bytes(column)
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last - first
         first = last

@@ -47,7 +47,7 @@ OPERATORS = {
     "kept_rows": quality.kept_rows,
     "urls": lambda df: urls.judged(df, url_col="text"),
     "html": lambda df: html.extracted(df, url_col="size", html_col="text"),
-    "encode": lambda df: pieces.encode(df, pieces.load_pieces(queries.model_path())),
+    "encode": lambda df: pieces.encode(df, pieces.load_pieces(queries.MODEL)),
 }
 FILTERS = {"decontaminated", "kept_rows"}
 
@@ -228,7 +228,7 @@ def test_warc_round_trip(spark):
 
 
 def test_lossless_and_reproducible_pieces(spark, docs):
-    vocabulary = pieces.load_pieces(queries.model_path())
+    vocabulary = pieces.load_pieces(queries.MODEL)
     rows = [(i, t) for i, t in docs.items()] + [(10**6, " a  b\t\x00😀"), (10**6 + 1, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one = {r.doc_id: r.tokens for r in pieces.encode(df, vocabulary).collect()}
