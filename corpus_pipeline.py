@@ -44,16 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled token ids of each document, and whether they decode to its text."""
-    vocabulary = pieces.load_pieces(model_path())
-    rows = docs.select("doc_id", "text").withColumn("crc", F.xxhash64("text"))
-    tokens = pieces.encode(rows, vocabulary, carry=["doc_id", "crc"])
-    decoded = pieces.decode(tokens, vocabulary, carry=["doc_id", "tokens", "crc"])
-    return decoded.select(
-        "doc_id",
-        F.size("tokens").cast("long").alias("n_tokens"),
-        "tokens",
-        F.xxhash64("decoded").eqNullSafe(F.col("crc")).alias("lossless"),
-    )
+    tokens = pieces.encode_checked(docs, pieces.load_pieces(model_path(spark)), carry=["doc_id"])
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
