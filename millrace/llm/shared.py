@@ -36,6 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that more than this share of the rows have are joined beside a broadcast, which has
+#: 1 / HOT_SHARE rows at most.
+HOT_SHARE = 0.001
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The inner join of ``rows`` with ``groups``, a written table of one row for each key whose
+    column ``n`` says how many rows have it. No task gets more than HOT_SHARE of them for one key."""
+    least = HOT_SHARE * (groups.agg(F.sum(n)).first()[0] or 0)
+    hot = groups.filter(F.col(n) >= least)
+    if least < 1000 or hot.isEmpty():
+        return rows.join(groups, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(n) < least), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df`` as one struct ``row``, so that names used on the way cannot clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
