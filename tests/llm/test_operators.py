@@ -109,7 +109,7 @@ def test_wrappers_tell_slots_from_template(spark):
 
 def test_simple_tree_matching_is_largest():
     def tree(spec):
-        return [spec[0], 1, "", 0, 0, [tree(c) for c in spec[1:]], "p"]
+        return [spec[0], [tree(c) for c in spec[1:]]]
 
     a, b = tree(("d", ("u", ("l",), ("l",)), ("p",), ("d",))), tree(("d", ("p",), ("u", ("l",)), ("d", ("p",))))
     assert html.matching(a, b, {})[0] == 4
