@@ -6,6 +6,11 @@ probability of the entity given the term and, against the entity's own probabili
 the term discloses. Terms beyond both thresholds become spans in the texts that hold the entity, and
 are generalised or, where they all but name it, removed.
 
+Entities share evidence at two more levels, their group (the domain of an address, the network of an
+ip, the issuer of a card, the region of a phone) and their kind: a term may tell these though no
+single entity comes often enough. As these are tried for many terms, the lower bound of an interval
+takes the place of their estimated probability.
+
 Everything is DataFrame functions. The co-occurrence table has rows only for texts with an entity;
 of the whole corpus, the terms that may disclose something are counted.
 """
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import unpacked, written
+from millrace.llm.shared import joined_to_groups, unpacked, written
 
 #: The kinds of the patterns, in the order in which spans of one start are listed, and of the terms.
 KINDS = ("email", "ip", "card", "phone")
@@ -47,7 +52,8 @@ class Disclosure:
     """``context``: characters on each side of an entity; a term has ``letters`` letters at least
     and occurs in ``support`` different texts with the entity, or contexts of it, at least. It is a span if the
     probability of the entity given the term reaches ``certainty`` and tells ``bits`` more than
-    the entity's own probability; from ``removal`` on it is removed, below it generalised."""
+    the entity's own probability; from ``removal`` on it is removed, below it generalised. For a group
+    or a kind of entities the probability is the lower bound of its interval of ``z`` standard errors."""
 
     context: int = 100
     letters: int = 3
@@ -55,6 +61,7 @@ class Disclosure:
     certainty: float = 0.5
     bits: float = 3.0
     removal: float = 0.9
+    z: float = 1.96
 
 
 #: Disclosing terms, and texts that hold them, up to which they are broadcast.
@@ -154,46 +161,60 @@ def listed(spans: Column) -> Column:
     )
 
 
-def entity_of(span: Column) -> Column:
-    """What makes two spans the same entity: kind and letters or digits."""
-    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
-    return F.xxhash64(span["kind"], value)
+def entities_of(span: Column) -> Column:
+    """What a span is evidence of, as an array of (level, entity): the entity itself (its kind and
+    letters or digits), its group, and its kind."""
+    value, digits, kind = F.lower(span["value"]), _digits(span["value"]), span["kind"]
+    own = F.when(kind <= 1, value).otherwise(digits)
+    group = (
+        F.when(kind == 0, F.substring_index(value, "@", -1))
+        .when(kind == 1, F.substring_index(value, ".", 3))
+        .when(kind == 2, F.left(digits, F.lit(6)))
+        .otherwise(F.left(digits, F.lit(5)))
+    )
+    levels = (own, group, F.lit(""))
+    return F.array(*[F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), kind, v).alias("entity")) for i, v in enumerate(levels)])
+
+
+def _lower_bound(p: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a share ``p`` of ``n``."""
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
-    """(entity, term, certainty, bits) of the terms that exceed the thresholds. ``texts``: the
-    columns of (which is equal for equal texts) and text of all rows. ``held``: (of, entity,
-    context) of the entities that they hold.
+    """(entity, n_entity, term, certainty, bits) of the terms that exceed the thresholds. ``texts``:
+    the columns of (which is equal for equal texts) and text of all rows. ``held``: (of, level,
+    entity, context) of the entities that they hold.
 
     A term occurs with an entity wherever a text holds both, however far apart. All counts are of
     different texts, so copies are no evidence for a term nor against it; one text supports a term
-    as well that has it in enough different contexts of the entity.
+    as well that has it in enough different contexts of the entity itself.
     """
-    held = held.select("of", "entity", F.lower("context").alias("context")).distinct()
-    contexts = held.select("entity", "context").distinct()
-    pairs = held.select("of", "entity").distinct()
+    held = held.select("of", "level", "entity", F.lower("context").alias("context")).distinct()
+    contexts = held.filter("level = 0").select("entity", "context").distinct()
+    pairs = held.select("of", "level", "entity").distinct()
     often = written(
-        pairs.groupBy("entity")
+        pairs.groupBy("level", "entity")
         .agg(F.count("*").alias("n_entity"))
-        .join(contexts.groupBy("entity").agg(F.count("*").alias("n_contexts")), "entity")
+        .join(contexts.groupBy("entity").agg(F.count("*").alias("n_contexts")), "entity", "left")
         .filter(F.greatest("n_entity", "n_contexts") >= options.support)
-        .select("entity", "n_entity"),
+        .select("level", "entity", "n_entity"),
         "pii-often",
     )
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
-    pairs = written(pairs.join(often, "entity"), "pii-pairs")
+    pairs = written(joined_to_groups(pairs.select("of", "entity"), often, ["entity"], "n_entity"), "pii-pairs")
     ids = pairs.select("of").distinct()
     few = ids.count() <= BROADCAST_ROWS
     own = texts.join(F.broadcast(ids) if few else ids, "of", "left_semi").select("of", "text").distinct()
     by_text = (
         own.select("of", words(F.lower("text")).alias("words"))
         .join(pairs, "of")
-        .select("entity", "n_entity", F.explode("words").alias("term"))
-        .groupBy("entity", "n_entity", "term")
+        .select("level", "entity", "n_entity", F.explode("words").alias("term"))
+        .groupBy("level", "entity", "n_entity", "term")
         .agg(F.count("*").alias("n_both"))
     )
     by_context = (
-        contexts.join(often, "entity")
+        joined_to_groups(contexts, often, ["entity"], "n_entity")
         .select("entity", F.explode(words(F.col("context"))).alias("term"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("n_contexts"))
@@ -202,20 +223,21 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
     joint = written(
         by_text.join(by_context, ["entity", "term"], "left")
         .filter((F.col("n_both") >= options.support) | F.col("n_contexts").isNotNull())
-        .select("entity", "n_entity", "term", "n_both"),
+        .select("level", "entity", "n_entity", "term", "n_both"),
         "pii-joint",
     )
     if joint.isEmpty():
-        return joint.select("entity", "term", F.lit(0.0).alias("certainty"), F.lit(0.0).alias("bits"))
+        return joint.select("entity", "n_entity", "term", F.lit(0.0).alias("certainty"), F.lit(0.0).alias("bits"))
     n_texts = texts.select("of").distinct().count()
     # all words are counted in place first, so that what meets the candidates is a vocabulary
     each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
     counts = texts.select("of", "text").distinct().select(each).groupBy("term").agg(F.count("*").alias("n_term"))
-    certainty = F.col("n_both") / F.col("n_term")
+    share = F.col("n_both") / F.col("n_term")
+    certainty = F.when(F.col("level") == 0, share).otherwise(_lower_bound(share, F.col("n_term"), options.z))
     bits = F.log2(certainty / (F.col("n_entity") / F.lit(n_texts)))
     return (
         joint.join(counts, "term")
-        .select("entity", "term", certainty.alias("certainty"), bits.alias("bits"))
+        .select("entity", "n_entity", "term", certainty.alias("certainty"), bits.alias("bits"))
         .filter((F.col("certainty") >= options.certainty) & (F.col("bits") >= options.bits))
     )
 
@@ -242,21 +264,24 @@ def with_spans(
     found = written(with_base_spans(rows, "text", options.context).select("row", "of", "base"), "pii-spans")
     held = written(
         found.select("of", F.explode("base").alias("span"))
-        .select("of", entity_of(F.col("span")).alias("entity"), F.col("span.context").alias("context"))
+        .select("of", F.explode(entities_of(F.col("span"))).alias("e"), F.col("span.context").alias("context"))
+        .select("of", "e.level", "e.entity", "context")
         .distinct(),
         "pii-entities",
     )
     told = written(disclosing(rows.select("of", "text"), held, options), "pii-terms")
     if told.isEmpty():
         return unpacked(found.withColumn("spans", F.col("base")), carry, ["base", "spans"])
+    # the terms of an entity as one row, and a text's as one map
+    pair = F.struct("term", "certainty")
+    by_entity = written(told.groupBy("entity", "n_entity").agg(F.collect_list(pair).alias("pairs")), "pii-by-entity")
     terms = written(
-        held.select("of", "entity")
-        .distinct()
-        .join(told, "entity")
-        .groupBy("of", "term")
-        .agg(F.max("certainty").alias("certainty"))
+        joined_to_groups(held.select("of", "entity").distinct(), by_entity, ["entity"], "n_entity")
+        .select("of", F.explode("pairs").alias("pair"))
+        .groupBy("of", F.col("pair.term").alias("term"))
+        .agg(F.max("pair.certainty").alias("certainty"))
         .groupBy("of")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "certainty"))).alias("terms")),
+        .agg(F.map_from_entries(F.collect_list(pair)).alias("terms")),
         "pii-texts",
     )
     few = terms.count() <= BROADCAST_ROWS
