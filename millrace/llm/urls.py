@@ -4,11 +4,14 @@ Per host, the segments of the paths form a tree. Level by level until the paths
 vary (few urls have one, few segments follow it, and no labels tell of it) are generalised into one
 wildcard, the siblings that stay are merged where their labelled shares do not differ by more than
 chance, and a template (a leaf of the generalised tree)
-is rejected if its smoothed share of bad labels reaches a threshold. Labels are what the host rules
-say of the urls that they fit, or a column of the caller's.
+is rejected if its smoothed share of bad labels reaches a threshold. Labels are a column of the
+caller's, or else what the host rules say of the urls that they fit; where no rule fits, a url is
+labelled bad if its host's name has a word of a short list. A label decides no url: a template needs
+enough of them.
 
 The tree is built from counts of distinct (host, path shape), in which numbers, dates and hashes
-are already wildcards, so the rows of a busy host shrink before anything is joined.
+are already wildcards, so the rows of a busy host shrink before anything is joined; what is left of a
+host that has very many shapes is joined beside a broadcast.
 """
 
 from __future__ import annotations
@@ -18,11 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import unpacked, written
+from millrace.llm.shared import joined_to_groups, unpacked, written
 
 #: verdict, host and path of a rule; the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
+#: The labelled sample beyond the rules: words of host names under which lists of unwanted sites file
+#: gambling, adult, spam and tracking hosts (fixed values).
+BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "poker", "spam", "track", "viagra")
+
 #: A segment stays literal if so many urls have it, or so many different segments follow it.
 MIN_URLS = 20
 MIN_KIDS = 20
@@ -89,6 +96,7 @@ def templates(counts: DataFrame, options: Options = Options()) -> DataFrame:
     label, as then nothing below it can be rejected (while ``reject`` is above one half).
     """
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    rows = F.count("*").alias("rows")
     node = ["host", "template"]
     active, level, done = counts.withColumn("template", F.lit("")), 0, []
     while True:
@@ -97,8 +105,8 @@ def templates(counts: DataFrame, options: Options = Options()) -> DataFrame:
         whole = whole | (F.count("*") == 1)
         if options.reject > 0.5:
             whole = whole | (F.sum("bad") == 0)
-        stops = active.groupBy(*node).agg(whole.alias("whole"))
-        marked = written(active.join(stops, node), "url-nodes")
+        stops = written(active.groupBy(*node).agg(whole.alias("whole"), rows), "url-stops")
+        marked = written(joined_to_groups(active, stops, node, "rows").drop("rows"), "url-nodes")
         done.append(marked.filter("whole").drop("whole"))
         active = marked.filter(~F.col("whole")).drop("whole")
         if active.isEmpty():
@@ -106,8 +114,8 @@ def templates(counts: DataFrame, options: Options = Options()) -> DataFrame:
         tree = active.withColumns(
             {"value": F.coalesce(F.get("shape", F.lit(level)), F.lit("")), "next": F.get("shape", F.lit(level + 1))}
         )
-        below = tree.groupBy(*node, "value", "next").agg(*sums)
-        values = below.groupBy(*node, "value").agg(*sums, F.count("next").alias("kids"))
+        below = tree.groupBy(*node, "value", "next").agg(*sums, rows)
+        values = below.groupBy(*node, "value").agg(*sums, F.sum("rows").alias("rows"), F.count("next").alias("kids"))
         labels = F.col("bad") + F.col("good")
         enough = labels + 0.5 * options.smoothing >= options.reject * (labels + options.smoothing)
         literal = (
@@ -115,23 +123,30 @@ def templates(counts: DataFrame, options: Options = Options()) -> DataFrame:
             | (F.col("kids") >= options.min_kids)
             | (labels > 0) & ((F.col("kids") > 0) | enough)
         )
-        values = written(values.withColumn("child", F.when(literal, F.col("value")).otherwise(WILD)), "url-values")
-        kept = values.filter(F.col("child") != WILD)
-        first = kept.groupBy(*node).agg(F.max_by(F.struct("child", "bad", "good"), F.struct("n", "child")).alias("first"))
-        alike = (F.col("child") != WILD) & _alike(F.struct("bad", "good"), F.col("first"), options.merge_z)
-        to = values.join(first, node, "left").select(
-            *node, "value", F.when(alike, F.col("first.child")).otherwise(F.col("child")).alias("to")
+        values = values.withColumn("child", F.when(literal, F.col("value")).otherwise(WILD))
+        values = written(values.select(*node, "value", "child", "n", "bad", "good", F.col("rows").alias("shapes")), "url-values")
+        stays = F.col("child") != WILD
+        most = F.max_by(F.when(stays, F.struct("child", "bad", "good")), F.when(stays, F.struct("n", "child")))
+        first = written(values.groupBy(*node).agg(most.alias("first"), rows), "url-firsts")
+        alike = stays & _alike(F.struct("bad", "good"), F.col("first"), options.merge_z)
+        to = written(
+            joined_to_groups(values, first, node, "rows").select(
+                *node, "value", F.when(alike, F.col("first.child")).otherwise(F.col("child")).alias("to"), F.col("shapes").alias("rows")
+            ),
+            "url-children",
         )
         active = written(
-            tree.join(to, [*node, "value"]).select(*counts.columns, F.concat("template", F.lit("/"), "to").alias("template")),
+            joined_to_groups(tree, to, [*node, "value"], "rows").select(
+                *counts.columns, F.concat("template", F.lit("/"), "to").alias("template")
+            ),
             "url-level",
         )
         level += 1
     tree = done[0]
     for more in done[1:]:
         tree = tree.unionByName(more)
-    purity = tree.groupBy(*node).agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    return tree.join(purity, node).select(
+    purity = written(tree.groupBy(*node).agg(F.sum("bad").alias("b"), F.sum("good").alias("g"), rows), "url-purity")
+    return joined_to_groups(tree, purity, node, "rows").select(
         *counts.columns,
         "template",
         ((F.col("b") + 0.5 * options.smoothing) / (F.col("b") + F.col("g") + options.smoothing)).alias("purity"),
@@ -154,12 +169,13 @@ def judged(
     rules=RULES,
     label: Column | None = None,
     options: Options = Options(),
+    bad_words: tuple[str, ...] = BAD_WORDS,
 ) -> DataFrame:
     """``df`` with host, path, rule and verdict added.
 
     A url that no rule fits is blocked if its template is rejected, and else allowed. ``label``:
     a column that is true for bad, false for good and null for unknown; without it, the rules
-    label the urls that they fit. A url that is null or has no ``://`` has an empty host and path
+    label the urls that they fit, and ``bad_words`` in the name of its host label another bad. A url that is null or has no ``://`` has an empty host and path
     and is judged as a url of the host ''. Repeated rows are judged alike; an empty table gives an
     empty result; added columns replace input columns of the same name.
     """
@@ -171,7 +187,9 @@ def judged(
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     marked = marked.withColumns({"rule": rule, "says": says})
     marked = marked.withColumn("shape", shape_of(F.col("path")))
-    bad = F.col("label") if label is not None else F.col("says") == "block"
+    said = F.col("says") == "block"
+    listed = F.when(F.col("host").rlike(rf"(?:^|[.-])(?:{'|'.join(bad_words)})(?=[.-])"), F.lit(True)) if bad_words else F.lit(None)
+    bad = F.col("label") if label is not None else F.coalesce(said, listed)
     counts = written(
         marked.select("host", "shape", bad.alias("isbad"))
         .groupBy("host", "shape")
