@@ -5,7 +5,8 @@ signatures that differ in at most DISTANCE positions agree, in one chunk of CHUN
 ``DISTANCE // CHUNKS`` positions (pigeonhole). So each chunk is entered in an index once for each
 allowed choice of positions to be wrong, without those positions, and every pair within DISTANCE
 shares an entry. Sets with a Jaccard similarity of 0.85 exceed DISTANCE with a probability of about
-2e-7 at the default sizes. Candidates are then checked on their whole sets.
+6e-7 at the default sizes (the binomial tail beyond 25 of 64 at 0.15). Candidates are then checked on
+their whole sets.
 
 Documents with equal sets are one vertex from the start. The members of an entry are not all paired:
 in the first rounds every entry compares its pivot with those members that are not yet in the
@@ -45,7 +46,7 @@ class Options:
     chunks: int = 13
     seed: int = 20
     #: The longer signatures: positions of 8 bits, and the distance that a similarity of 0.85
-    #: exceeds with a probability of about 1e-7.
+    #: exceeds with a probability of about 2e-7.
     long_positions: int = 256
     long_distance: int = 70
 
@@ -73,7 +74,9 @@ class Options:
         return draw[0] | U64(1), draw[1]
 
 
-#: Rounds of pivots, and members of an entry in a block of the complete round after them.
+#: Rounds of pivots. In the complete round after them, an entry of more than BLOCK members is cut into
+#: the root of their number by BLOCK blocks, and each member meets each block once: n members are
+#: copied n * sqrt(n / BLOCK) times, and a task holds 2 * sqrt(n * BLOCK) of them.
 PIVOT_ROUNDS = 2
 TAG_MASK = 127
 BLOCK = 2048
@@ -219,23 +222,27 @@ def _entry_keys(signed: np.ndarray, tag: int, positions: tuple[int, ...]) -> np.
     return ((key & ~U64(TAG_MASK)) | U64(tag)).view(np.int64)
 
 
+SIGNED = "doc long, tie long, sum binary, n long, signature binary"
+
+
 def _signed(batches: Iterator[pa.RecordBatch], options: Options) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (doc, sum, n, signature); sum is a 128-bit hash of the set."""
+    """(doc, tie, text) to (doc, tie, sum, n, signature); sum is a 128-bit hash of the set."""
     import xxhash
 
     for batch in batches:
-        for first, found in W.scans(batch.column(1), W.SPACED, lower=True):
+        for first, found in W.scans(batch.column(2), W.SPACED, lower=True):
             sets = shingle_sets(found, options.shingle)
             some = [s for s in sets if len(s)]
             signed = iter(signatures(some, options))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, found.n_rows),
+                    batch.column(1).slice(first, found.n_rows),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc", "sum", "n", "signature"],
+                names=["doc", "tie", "sum", "n", "signature"],
             )
 
 
@@ -287,18 +294,17 @@ class _Search:
 
     def __init__(self, docs: DataFrame, options: Options):
         self.options = options
-        self.docs = docs  # doc, text; no null doc
-        self.signed = written(
-            docs.mapInArrow(
-                lambda batches: _signed(batches, options), "doc long, sum binary, n long, signature binary"
-            ),
-            "near-signatures",
-        )
+        self.docs = docs.select("doc", F.xxhash64("text").alias("tie"), "text")  # no null doc
+        self.signed = written(self.docs.mapInArrow(lambda batches: _signed(batches, options), SIGNED), "near-signatures")
+        self.repeated = not self.signed.groupBy("doc").count().filter("count > 1").isEmpty()
+        # a vertex has the least id of its rows or, where an id may stand for several texts, a hash of its set
+        own = F.conv(F.hex(F.substring("sum", 1, 7)), 16, 10).cast("long") if self.repeated else F.col("place.doc")
         classes = self.signed.filter("n > 0").groupBy("sum").agg(
-            F.min("doc").alias("id"), F.max("doc").alias("last"), F.min("signature").alias("signature")
+            F.min(F.struct("doc", "tie")).alias("place"), F.max("doc").alias("last"), F.min("signature").alias("signature")
+        )
+        self.classes = written(
+            classes.select("sum", own.alias("id"), "place.doc", "place.tie", "last", "signature"), "near-classes"
         )
-        self.classes = written(classes, "near-classes")
-        self.repeated = not self.signed.groupBy("doc").count().filter("count > 1").isEmpty()
 
     def entries(self) -> DataFrame:
         """(entry, id) of the index entries that more than one vertex has."""
@@ -310,15 +316,21 @@ class _Search:
         return written(index.join(shared.select("entry"), "entry"), "near-entries")
 
     def texts(self, ids: DataFrame) -> DataFrame:
-        """(doc, text) of the ids in ``ids`` (doc), which is a written table."""
+        """(id, text) of the vertices in ``ids`` (id), which is a written table."""
         few = ids.count() <= BROADCAST_IDS
-        return self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text")
+        if self.repeated:
+            ids = self.classes.join(ids, "id").select("id", "doc", "tie")
+        else:
+            ids = ids.select("id", F.col("id").alias("doc"))
+        found = self.docs.join(F.broadcast(ids) if few else ids, ["doc", "tie"] if self.repeated else "doc")
+        # equal rows are one
+        return (found.dropDuplicates(["id"]) if self.repeated else found).select("id", "text")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, shingles) of the ids in ``ids`` (doc), which is a written table."""
+        """(id, shingles) of the vertices in ``ids`` (id), which is a written table."""
         options = self.options
         sets = self.texts(ids).mapInArrow(lambda batches: _sets(batches, options), "id long, shingles binary")
-        return written(sets.distinct() if self.repeated else sets, "near-sets")
+        return written(sets, "near-sets")
 
     def links_in_place(self, members: DataFrame, open_: DataFrame) -> DataFrame:
         """The links (a, b) among all ``members`` (entry, id, component) that share an entry and are
@@ -326,13 +338,11 @@ class _Search:
         that are near another, and then, for these rows only, with their whole sets."""
         options = self.options
         members = written(members.join(open_.select("entry", "n"), "entry"), "near-members")
-        ids = written(members.select(F.col("id").alias("doc")).distinct(), "near-ids")
+        ids = written(members.select("id").distinct(), "near-ids")
         long = self.texts(ids).mapInArrow(lambda batches: _long_signatures(batches, options), "id long, long binary")
-        if self.repeated:
-            long = long.groupBy("id").agg(F.min("long").alias("long"))
         signed = long.join(self.classes.select("id", "signature"), "id")
-        # an entry of more than BLOCK members is cut into blocks, and each pair of blocks is a cell
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        # each pair of an entry's blocks is a cell
+        blocks = F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("int")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -347,7 +357,7 @@ class _Search:
         )
         sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
         near = written(sorted_(cells).mapInArrow(lambda batches: _involved(batches, options), CELL), "near-rows")
-        ids = written(near.select(F.col("id").alias("doc")).distinct(), "near-ids")
+        ids = written(near.select("id").distinct(), "near-ids")
         whole = sorted_(near.join(self.sets(ids), "id").select(*near.columns, "shingles"))
         return whole.mapInArrow(lambda batches: _linked_in_cells(batches, options), "a long, b long")
 
@@ -362,7 +372,7 @@ class _Search:
             .mapInArrow(lambda batches: _near(batches, options), "a long, b long"),
             "near-candidates",
         )
-        ids = written(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "near-ids")
+        ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
         sets = self.sets(ids)
         member = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"shingles_{x}"))
         return (
@@ -436,19 +446,22 @@ def near_duplicates(
         classes = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
         classes = classes.withColumn("component", F.col("id"))
-    moved = classes.filter("last != id or component != id").select("sum", "component")
-    docs_of = search.signed.select("doc", "sum", "n").join(moved, "sum", "left")
     if search.repeated:
-        links = docs_of.select(F.col("doc").alias("b"), F.coalesce("component", "doc").alias("a"))
-        least = components(links).select(F.col("id").alias("doc"), F.col("component").alias("least"))
-        docs_of = docs_of.join(least, "doc", "left").withColumn("component", F.coalesce("least", "component"))
+        # rows of one id are of one component, with all that their sets are linked to
+        of = search.signed.select("doc", "sum").join(classes.select("sum", "component"), "sum")
+        least = of.groupBy("component").agg(F.min("doc").alias("a"))
+        found = components(of.join(least, "component").select("a", F.col("doc").alias("b")))
+        docs_of = search.signed.select("doc", "sum", "n").join(found.withColumnRenamed("id", "doc"), "doc", "left")
+    else:
+        moved = classes.filter("last != id or component != id").select("sum", "component")
+        docs_of = search.signed.select("doc", "sum", "n").join(moved, "sum", "left")
     docs_of = docs_of.select("doc", "sum", "n", F.coalesce("component", "doc").alias("component"))
     if [c.lower() for c in carry] == [id_col.lower()]:
         # nothing but the id is asked for: the rows are those of the signatures
-        nulls = df.filter(doc.isNull()).select(doc.alias("doc"), text.alias("text"))
-        nulls = nulls.mapInArrow(
-            lambda batches: _signed(batches, options), "doc long, sum binary, n long, signature binary"
-        ).select("doc", "sum", "n", F.lit(None).cast("long").alias("component"))
+        nulls = df.filter(doc.isNull()).select(doc.alias("doc"), F.lit(0).cast("long").alias("tie"), F.coalesce(text, F.lit("")).alias("text"))
+        nulls = nulls.mapInArrow(lambda batches: _signed(batches, options), SIGNED).select(
+            "doc", "sum", "n", F.lit(None).cast("long").alias("component")
+        )
         out = docs_of.unionAll(nulls).withColumn("row", F.struct(F.col("doc").alias(carry[0])))
     else:
         rows = packed(df.select(*[f"`{c}`" for c in carry])).withColumn("doc", F.col("row").getField(id_col).cast("long"))
