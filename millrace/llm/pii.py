@@ -181,6 +181,19 @@ def _lower_bound(p: Column, n: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _different(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``texts`` (of, text) without copies; only those in ``repeated`` (of) are shuffled, while these
+    are few."""
+    n = repeated.count()
+    if not n:
+        return texts
+    if n > BROADCAST_ROWS:
+        return texts.dropDuplicates(["of"])
+    repeated = F.broadcast(repeated)
+    once = texts.join(repeated, "of", "left_semi").dropDuplicates(["of"])
+    return texts.join(repeated, "of", "left_anti").unionAll(once)
+
+
 def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosure()) -> DataFrame:
     """(entity, n_entity, term, certainty, bits) of the terms that exceed the thresholds. ``texts``:
     the columns of (which is equal for equal texts) and text of all rows. ``held``: (of, level,
@@ -228,10 +241,12 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
     )
     if joint.isEmpty():
         return joint.select("entity", "n_entity", "term", F.lit(0.0).alias("certainty"), F.lit(0.0).alias("bits"))
-    n_texts = texts.select("of").distinct().count()
+    repeats = written(texts.groupBy("of").agg(F.count("*").alias("n")), "pii-repeats")
+    n_texts = repeats.count()
     # all words are counted in place first, so that what meets the candidates is a vocabulary
     each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
-    counts = texts.select("of", "text").distinct().select(each).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = _different(texts.select("of", "text"), repeats.filter("n > 1").select("of")).select(each)
+    counts = counts.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.col("n_both") / F.col("n_term")
     certainty = F.when(F.col("level") == 0, share).otherwise(_lower_bound(share, F.col("n_term"), options.z))
     bits = F.log2(certainty / (F.col("n_entity") / F.lit(n_texts)))

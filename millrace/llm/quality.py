@@ -10,13 +10,12 @@ at most, however large the corpus) reach the driver.
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import packed, unpacked
+from millrace.llm.shared import unpacked, written
 
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -157,7 +156,7 @@ class VoteModel:
 #: them with STRENGTH times the weight of the documents, so alike at every size.
 BOTH = ({"g": 0.75, "b": 0.02, "-": 0.23}, {"g": 0.25, "b": 0.45, "-": 0.3})
 ONLY_BAD = ({"g": 1e-6, "b": 0.02, "-": 0.98}, {"g": 1e-6, "b": 0.3, "-": 0.7})
-STRENGTH, GOOD_SHARE = 0.5, 0.8
+STRENGTH, GOOD_SHARE = 0.05, 0.8
 
 
 def fit(
@@ -191,25 +190,36 @@ def fit(
     return model
 
 
-def fit_votes(df: DataFrame, text_col: str = "text") -> VoteModel:
-    """The vote model of a whole table; at most 3 ** rules counted patterns are collected."""
-    counted = (
-        with_features(df.select(F.col(text_col).alias("text")), F.col("text"))
-        .groupBy(F.concat(*votes()).alias("pattern"))
-        .count()
-    )
-    return fit({r["pattern"]: r["count"] for r in counted.collect()}, ONLY_BAD_RULES)
-
-
-def log_odds(model: VoteModel) -> Column:
+def _pattern_odds(model: VoteModel) -> Column:
+    """The log-odds of good of the column ``pattern``."""
     total = F.lit(math.log(model.prior / (1 - model.prior)))
-    for vote, weight in zip(votes(), model.weights(), strict=True):
+    for j, weight in enumerate(model.weights()):
+        vote = F.substring("pattern", j + 1, 1)
         total = total + F.when(vote == "g", weight["g"]).when(vote == "b", weight["b"]).otherwise(weight["-"])
     return total
 
 
-def judged(df: DataFrame, text_col: str = "text", model: VoteModel | None = None, threshold: float = 0.5) -> DataFrame:
-    """``df`` with FEATURES, ``base_failed``, ``quality`` and ``kept`` added.
+def _voted(df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """``row`` (the columns in ``carry``), FEATURES, ``base_failed`` and ``pattern`` (a vote for each
+    rule) of each row, written: features cost far more than reading them twice."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = with_features(rows, F.col("text"))
+    return written(
+        marked.select("row", *FEATURES, base_failed().alias("base_failed"), F.concat(*votes()).alias("pattern")), "quality-votes"
+    )
+
+
+def _fitted(voted: DataFrame) -> VoteModel:
+    """The vote model of a whole table; at most 3 ** rules counted patterns are collected."""
+    counted = voted.groupBy("pattern").count().collect()
+    return fit({r["pattern"]: r["count"] for r in counted}, ONLY_BAD_RULES)
+
+
+def judged(
+    df: DataFrame, text_col: str = "text", model: VoteModel | None = None, threshold: float = 0.5, carry: list[str] | None = None
+) -> DataFrame:
+    """The columns in ``carry`` (all) of ``df`` with FEATURES, ``base_failed``, ``quality`` and
+    ``kept`` added.
 
     ``quality`` is the posterior probability that a document is good; ``kept`` is false where
     the base rules fail and else whether ``quality`` reaches ``threshold``. Without ``model`` it
@@ -217,24 +227,16 @@ def judged(df: DataFrame, text_col: str = "text", model: VoteModel | None = None
     repeated rows are judged alike; an empty table gives an empty result; an added column
     replaces an input column of the same name.
     """
-    model = model or fit_votes(df, text_col)
-    out = with_features(packed(df), F.col("row").getField(text_col))
-    out = out.withColumns(
-        {"base_failed": base_failed(), "quality": 1 / (1 + F.exp(-log_odds(model)))}
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return unpacked(_observed(out, "kept"), df.columns, [*FEATURES, "base_failed", "quality", "kept"])
-
-
-def _observed(df: DataFrame, verdict: str) -> DataFrame:
-    """``df`` with an observation of how many rows have the verdict. Filters stay above it; pushed
-    below the features, they would work these out again at each place where they name them."""
-    return df.observe(f"quality-{uuid.uuid4().hex}", F.count_if(verdict).alias(verdict))
+    carry = df.columns if carry is None else carry
+    voted = _voted(df, text_col, carry)
+    quality = 1 / (1 + F.exp(-_pattern_odds(model or _fitted(voted))))
+    out = voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return unpacked(out, carry, [*FEATURES, "base_failed", "quality", "kept"])
 
 
 def kept_rows(df: DataFrame, text_col: str = "text", model: VoteModel | None = None, threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that ``judged`` keeps, with the columns of ``df``."""
-    model = model or fit_votes(df, text_col)
-    out = with_features(packed(df), F.col("row").getField(text_col))
-    good = ~base_failed() & (1 / (1 + F.exp(-log_odds(model))) >= threshold)
-    out = _observed(out.select("row", good.alias("good")), "good")
-    return out.filter("good").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    voted = _voted(df, text_col, df.columns)
+    quality = 1 / (1 + F.exp(-_pattern_odds(model or _fitted(voted))))
+    good = voted.filter(~F.col("base_failed") & (quality >= threshold))
+    return good.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

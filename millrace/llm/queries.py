@@ -33,7 +33,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judged(docs).select("doc_id", *quality.FEATURES, "base_failed", "quality", "kept")
+    return quality.judged(docs, carry=["doc_id"]).select("doc_id", *quality.FEATURES, "base_failed", "quality", "kept")
 
 
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
