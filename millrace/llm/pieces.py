@@ -33,16 +33,17 @@ ZIPF_OFFSET = 10.0
 #: How much less than the rarest piece a byte piece weighs, as a natural logarithm.
 BYTE_PENALTY = 5.0
 #: Bytes of the lattices that a Python worker keeps; beyond them it starts anew.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 64 << 20
 #: Bytes of text whose lattices are worked out together, and that are sampled together.
-NEW_BYTES, SAMPLED_BYTES = 64 << 10, 256 << 10
+NEW_BYTES, SAMPLED_BYTES = 128 << 10, 256 << 10
 #: A longer cut of text is drawn alone, in windows of so many bytes, and not kept.
 LONG_CUT, WINDOW = 128, 32 << 10
 
 
 @dataclass
 class Pieces:
-    """The vocabulary: for each length in bytes, sorted piece hashes with ids; weights; bytes."""
+    """The vocabulary: for each length in bytes the sorted hashes of all beginnings of pieces of that
+    length, with the id of the piece that is no longer (else -1); weights; bytes."""
 
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
     weight: np.ndarray
@@ -81,10 +82,16 @@ def load_pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
     ptr = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
     by_length, hashes = {}, W.Hashes(flat)
-    for length in sorted({len(texts[i]) for i in plain}):
-        ids = np.array([i for i in plain if len(texts[i]) == length], dtype=np.int32)
+    lengths = np.array([len(texts[i]) for i in plain])
+    for length in range(1, int(lengths.max()) + 1):
+        ids = np.array(plain, dtype=np.int32)[lengths >= length]
+        whole = lengths[lengths >= length] == length
         h = hashes.of(ptr[ids], ptr[ids] + length)
-        by_length[length] = (np.sort(h), ids[np.argsort(h)])
+        # of equal beginnings the one that is a piece comes first
+        order = np.lexsort((~whole, h))
+        h, ids = h[order], np.where(whole, ids, -1)[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        by_length[length] = (h[first], ids[first])
     alone = np.ones(256, dtype=bool)
     for i in plain:
         alone[list(texts[i])] = False
@@ -127,7 +134,7 @@ class Lattices:
         return 16 * self.chance.n + 4 * self.ptr.n + 20 * self.base.n
 
     def add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> None:
-        """Adds the lattices of the cuts ``data[start:end]``, whose hashes are not known yet."""
+        """Adds the lattices of the cuts ``data[start:end]``, whose sorted hashes are not known yet."""
         edges, base, length = edges_of(data, W.Hashes(data), start, end, pieces)
         chance, source, target, piece = filtered(edges, base, length)
         first, nodes = self.base.n, self.ptr.n
@@ -138,10 +145,9 @@ class Lattices:
         self.piece.add(piece)
         self.base.add(base + nodes)
         self.length.add(length)
-        known = np.concatenate([self.known, hashes])
-        which = np.concatenate([self.which, np.arange(first, self.base.n, dtype=np.int32)])
-        order = np.argsort(known)
-        self.known, self.which = known[order], which[order]
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.which = np.insert(self.which, place, np.arange(first, self.base.n, dtype=np.int32))
 
 
 def edges_of(data: np.ndarray, all_hashes: W.Hashes, start: np.ndarray, end: np.ndarray, pieces: Pieces):
@@ -159,17 +165,17 @@ def edges_of(data: np.ndarray, all_hashes: W.Hashes, start: np.ndarray, end: np.
     size = np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4)
     covered = np.zeros(n, dtype=bool)
     out = []
+    open_ = np.flatnonzero(size > 0)  # where some piece may go on
     for width, (hashes, ids) in pieces.by_length.items():
-        if width == 1:
-            fit = np.flatnonzero((left >= 1) & (size == 1))
-        else:
-            fit = np.flatnonzero((left >= width) & (size > 0) & (size <= width))
-        if not len(fit):
-            continue
-        h = all_hashes.of(at[fit], at[fit] + width)
+        open_ = open_[left[open_] >= width]
+        if not len(open_):
+            break
+        h = all_hashes.of(at[open_], at[open_] + width)
         near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         hit = hashes[near] == h
-        fit, found = fit[hit], ids[near[hit]]
+        open_, found = open_[hit], ids[near[hit]]
+        is_piece = found >= 0
+        fit, found = open_[is_piece], found[is_piece]
         covered[fit[size[fit] == width]] = True
         out.append((node[fit], node[fit] + width, found, pieces.weight[found]))
     # byte pieces for the bytes of characters that are no piece themselves
