@@ -66,16 +66,37 @@ def decode_entities(text: Column, passes: int = 3) -> Column:
     return text
 
 
+#: What is redacted, in this order: a pattern, its replacement, and what a text must hold one of for
+#: it to match. Patterns over long runs begin only where a run or a match ends, and give nothing back.
+SECRETS = (
+    (r"(?<![A-Za-z0-9_])(?:[Bb]earer|BEARER)\s++[A-Za-z0-9._~+/=-]++", "[token]", ("earer", "EARER")),
+    (r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+", "[token]", ("eyJ",)),
+    (
+        r"(?<![A-Za-z0-9_])((?:api[_-]?key|apikey|secret|token|password|passwd|cookie)[\"']?\s*+[:=]\s*+)[\"']?[^\s\"',;&]++[\"']?",
+        "$1[secret]",
+        ("key", "secret", "token", "passw", "cookie"),
+    ),
+    (r"(https?://)[^\s/@:]++:[^\s/@]++@", "$1[login]@", ("://",)),
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++", "[mail]", ("@",)),
+    (r"[0-9]{6}-[1-8][0-9]{6}", "[id]", ("-",)),
+    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[ip]", (".",)),
+    (r"\+?[0-9][0-9() -]{7,}[0-9]", "[phone]", ()),
+    (r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{32,}+", "[token]", ()),
+)
+
+
 def redact(text: Column, limit: int | None = None) -> Column:
-    """Mail addresses, ip addresses, telephone numbers and long tokens replaced, then cut at ``limit``
-    code points: redaction comes first, so no half secret survives the cut."""
-    for pattern, label in (
-        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[mail]"),
-        (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[ip]"),
-        (r"\+?[0-9][0-9() -]{7,}[0-9]", "[phone]"),
-        (r"[A-Za-z0-9_-]{32,}", "[token]"),
-    ):
-        text = F.regexp_replace(text, pattern, label)
+    """Tokens, secrets in fields, logins in urls, mail addresses, id numbers, ip addresses, telephone
+    numbers and long tokens replaced, then cut at ``limit`` code points: redaction comes first, so
+    no half secret survives the cut."""
+    for pattern, label, needs in SECRETS:
+        done = F.regexp_replace(text, pattern, label)
+        if needs:
+            some = F.contains(text, F.lit(needs[0]))
+            for word in needs[1:]:
+                some = some | F.contains(text, F.lit(word))
+            done = F.when(some, done).otherwise(text)
+        text = done
     return text if limit is None else F.substring(text, 1, limit)
 
 

@@ -24,6 +24,22 @@ def nearest_before(df: DataFrame, by: Sequence[str], at: Column, tie: Column, is
     return df.withColumn(name, found).filter(is_left)
 
 
+def nearest_in_group(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
+    """For each row the ``k`` other rows of its group that are nearest in ``value``, of equally near
+    ones those of smaller key: (key, similar_key, place). Only the k + 1 least keys of a value can be
+    among them, and only the k values on each side, so no pairs of rows are made."""
+    least = df.groupBy(*by, value, key).count().withColumn("_n", F.row_number().over(Window.partitionBy(*by, value).orderBy(key)))
+    least = least.filter(F.col("_n") <= k + 1).groupBy(*by, value).agg(F.collect_list(key).alias("_keys"))
+    around = Window.partitionBy(*by).orderBy(value).rowsBetween(-k, k)
+    near = least.withColumn("_near", F.collect_list(F.struct(F.col(value).alias("v"), F.col("_keys").alias("keys"))).over(around))
+    out = df.select(*by, value, key).join(near.select(*by, value, "_near"), [*by, value])
+    each = F.flatten(F.transform("_near", lambda x: F.transform(x["keys"], lambda i: F.struct(F.abs(x["v"] - F.col(value)).alias("far"), i.alias("key")))))
+    best = F.slice(F.array_sort(F.filter(each, lambda x: x["key"] != F.col(key))), 1, k)
+    return out.select(key, F.posexplode(best).alias("_at", "_best")).select(
+        key, F.col("_best.key").alias(f"similar_{key}"), (F.col("_at") + 1).alias("place")
+    )
+
+
 def bracket(value: Column, bounds: Sequence[tuple[float, str]], otherwise: str) -> Column:
     """The label of the first bound that the value is under: ``lo <= x < hi`` for sorted bounds."""
     out = F.when(F.lit(False), "")
@@ -32,13 +48,29 @@ def bracket(value: Column, bounds: Sequence[tuple[float, str]], otherwise: str)
     return out.otherwise(otherwise)
 
 
+#: Rules up to which they are broadcast.
+BROADCAST_RULES = 100_000
+#: Rules for all values that one row of a table of them holds.
+RULES_TOGETHER = 1000
+
+
 def wildcard_match(facts: DataFrame, rules: DataFrame, on: str, any_value: str = "*") -> DataFrame:
-    """Facts with each rule for their value and each rule for all values: two equi joins rather than
-    one disjunctive join, which could only be a nested loop."""
-    exact = facts.join(rules.filter(F.col(on) != any_value), on)
-    anyone = rules.filter(F.col(on) == any_value).drop(on).withColumn("one", F.lit(1))
-    rest = facts.withColumn("one", F.lit(1)).join(anyone, "one").drop("one")
-    return exact.unionByName(rest)
+    """Facts with each rule for their value and each rule for all values: equi joins with the rules
+    on the broadcast side while they are few, rather than one disjunctive join, which could only be
+    a nested loop. Rules for all values are packed, some to a row, and a fact is sent to each row."""
+    n = rules.count()
+    near = F.broadcast if n <= BROADCAST_RULES else (lambda df: df)
+    exact = facts.join(near(rules.filter(F.col(on) != any_value)), on)
+    others = [c for c in rules.columns if c != on]
+    packs = max(1, n // RULES_TOGETHER)
+    packed = (
+        rules.filter(F.col(on) == any_value)
+        .groupBy(F.pmod(F.xxhash64(*others), F.lit(packs)).cast("int").alias("_pack"))
+        .agg(F.collect_list(F.struct(*others)).alias("_rules"))
+    )
+    sent = facts.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    rest = sent.join(near(packed), "_pack").select(*facts.columns, F.explode("_rules").alias("_rule"))
+    return exact.unionByName(rest.select(*facts.columns, *[F.col("_rule")[c].alias(c) for c in others]))
 
 
 def self_pairs(df: DataFrame, on: Sequence[str], key: str, differ: str, carry: Sequence[str] = ()) -> DataFrame:

@@ -29,27 +29,48 @@ def chain_ends(df: DataFrame, by: Sequence[Column], order: Column, first: Column
     return ends.withColumns({"first_value": F.col("a.v"), "last_value": F.col("b.v")}).drop("a", "b")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half up at ``digits`` decimals of a number that counts whole units of the last of them."""
+    return F.floor(x + 0.5) / 10**digits
+
+
 def five_numbers(df: DataFrame, by: Sequence[str], value: str, least: int, digits: int = 2) -> DataFrame:
     """Count, minimum, quartiles and maximum by group; all but the count are null in groups of fewer
-    than ``least`` rows, inside the query."""
-    marks = F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    than ``least`` rows, inside the query. Values are whole units of the last decimal, so quartiles
+    between two of them are exact and halves are rounded alike everywhere."""
+    units = F.round(F.col(value) * 10**digits)
+    marks = F.percentile(units, [0.0, 0.25, 0.5, 0.75, 1.0])
     out = df.groupBy(*by).agg(F.count("*").alias("n"), marks.alias("q"))
     names = ("low", "q1", "median", "q3", "high")
-    return out.select(*by, "n", *[F.when(F.col("n") >= least, F.round(F.col("q")[i], digits)).alias(c) for i, c in enumerate(names)])
-
-
-def upper_median(values: Column) -> Column:
-    """The element at ``n div 2`` of the sorted values: no mean of the middle two."""
-    sorted_ = F.array_sort(values)
-    return F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))
-
-
-def counts_below(df: DataFrame, value: str, name: str = "below") -> DataFrame:
-    """For each value how many rows are smaller. Rows are counted by value first, so that the one
-    sorted window holds distinct values rather than rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    smaller = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(value, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias(name))
+    return out.select(*by, "n", *[F.when(F.col("n") >= least, rounded(F.col("q")[i], digits)).alias(c) for i, c in enumerate(names)])
+
+
+def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
+    """The value at ``n div 2`` of each group's sorted values: no mean of the middle two. Equal values
+    are counted first, and a group's values are streamed in order, never held as one array."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = F.floor(F.sum("_n").over(group) / 2)
+    out = counts.withColumns({"_upto": upto, "_middle": middle})
+    return out.filter((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_n") <= F.col("_middle"))).select(*by, F.col(value).alias(name))
+
+
+def counts_below(df: DataFrame, value: str, name: str = "below", parts: int = 64) -> DataFrame:
+    """For each numeric value how many rows are smaller. Values fall into ``parts`` ranges of about
+    equal size; each range is summed in order by itself, and what the ranges before it hold, one
+    small table, is added."""
+    marks = df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.2 / parts)
+    bounds = F.array(*[F.lit(x) for x in sorted(set(marks))]).cast("array<double>")
+    # the first range is 0; a value that is a bound belongs to the range above it
+    part = F.size(F.filter(bounds, lambda b: b <= F.col(value)))
+    counts = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return own.join(F.broadcast(sums), "_part").select(value, (F.col("_base") + F.col("_own")).alias(name))
 
 
 def ranked(df: DataFrame, value: str, within: str) -> DataFrame:

@@ -124,20 +124,20 @@ DOC_KEY = "md5(lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')))"
 @query(f"SELECT min(doc_id) AS doc_id, {DOC_KEY} AS key, count(*) AS n_copies FROM documents GROUP BY 2")
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each normalised text."""
-    return _deduplicated(spark, sf_dir, dedup.first_wins)
+    return _deduplicated(spark, sf_dir, F.min_by)
 
 
 @query(f"SELECT max(doc_id) AS doc_id, {DOC_KEY} AS key, count(*) AS n_copies FROM documents GROUP BY 2")
 def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last document of each normalised text."""
-    return _deduplicated(spark, sf_dir, dedup.last_wins)
+    return _deduplicated(spark, sf_dir, F.max_by)
 
 
-def _deduplicated(spark: SparkSession, sf_dir: str, wins) -> DataFrame:
-    key = F.md5(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]", "")))
+def _deduplicated(spark: SparkSession, sf_dir: str, pick) -> DataFrame:
+    """The key is worked out once, before the aggregate."""
+    key = F.md5(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]+", "")))
     docs = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
-    counts = docs.groupBy("key").agg(F.count("*").alias("n_copies"))
-    return wins(docs, [F.col("key")], F.col("doc_id")).join(counts, "key")
+    return dedup.counted(docs, [F.col("key")], F.col("doc_id"), pick)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, labels, text
-from millrace.operators import dedup, stats
+from millrace.operators import match, dedup, stats
 from millrace.plans.registry import query, table
 
 
@@ -55,10 +55,8 @@ def plausible_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rows of equal brand and type, nearest in size."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    other = part.select(F.col("p_partkey").alias("similar_key"), "p_brand", "p_type", F.col("p_size").alias("size"))
-    pairs = part.join(other, ["p_brand", "p_type"]).filter("p_partkey <> similar_key")
-    order = [F.abs(F.col("p_size") - F.col("size")), F.col("similar_key")]
-    return stats.top_per_group(pairs, ["p_partkey"], order, 3).select("p_partkey", "similar_key", "place")
+    near = match.nearest_in_group(part, ["p_brand", "p_type"], "p_size", "p_partkey", 3)
+    return near.withColumnRenamed("similar_p_partkey", "similar_key")
 
 
 @query(

@@ -89,12 +89,12 @@ def group_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS n, quantile_cont(c_acctbal, [0, 0.25, 0.5, 0.75, 1]) AS q
+    WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS n, quantile_cont(round(c_acctbal * 100), [0, 0.25, 0.5, 0.75, 1]) AS q
                FROM customer GROUP BY c_mktsegment, c_nationkey)
     SELECT c_mktsegment, c_nationkey, n,
-           CASE WHEN n >= 12 THEN round(q[1], 2) END AS low, CASE WHEN n >= 12 THEN round(q[2], 2) END AS q1,
-           CASE WHEN n >= 12 THEN round(q[3], 2) END AS median, CASE WHEN n >= 12 THEN round(q[4], 2) END AS q3,
-           CASE WHEN n >= 12 THEN round(q[5], 2) END AS high
+           CASE WHEN n >= 12 THEN floor(q[1] + 0.5) / 100 END AS low, CASE WHEN n >= 12 THEN floor(q[2] + 0.5) / 100 END AS q1,
+           CASE WHEN n >= 12 THEN floor(q[3] + 0.5) / 100 END AS median, CASE WHEN n >= 12 THEN floor(q[4] + 0.5) / 100 END AS q3,
+           CASE WHEN n >= 12 THEN floor(q[5] + 0.5) / 100 END AS high
     FROM g
     """
 )
@@ -339,9 +339,9 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def two_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper median and the mean of the middle two; they are not the same."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        stats.upper_median(F.collect_list("value")).alias("upper_median"), F.round(F.median("value"), 6).alias("median")
-    )
+    events = table(spark, sf_dir, "events").select("user_id", "value")
+    mean = events.groupBy("user_id").agg(F.round(F.median("value"), 6).alias("median"))
+    return stats.upper_median(events, ["user_id"], "value").join(mean, "user_id")
 
 
 @query(

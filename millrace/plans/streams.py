@@ -12,10 +12,15 @@ from millrace.plans.registry import query, table
 from millrace.streaming import jobs
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's state: in the shared folder where the cluster names one."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's state: in the shared folder that the cluster names; a temporary one
+    only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="millrace-stream-")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="millrace-stream-")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +32,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ran(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    jobs.run_available(stream, name, _checkpoint(spark, name), mode).awaitTermination()
-    return spark.table(name)
+    folder = _folder(spark, "stream")
+    return jobs.run_available(stream, f"{folder}/rows", f"{folder}/state", mode)
 
 
 @query("SELECT day, count(*) AS n_visits FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, event_type FROM events) GROUP BY day")

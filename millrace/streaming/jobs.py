@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators import merge
 
@@ -30,30 +29,37 @@ def expired(last_seen: Column, deadline: Column, as_of: Column, open_days: int =
     return F.when(deadline.isNotNull(), F.date_diff(as_of, deadline) > open_days).otherwise(rolling)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def merging_sink(path: str, rules: merge.Ownership) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into the table at ``path``: version v+1 is made
-    from version v and the batch, under the batch's number, so that a batch that runs again writes
-    the same version."""
+    """A foreachBatch function that merges batch n into the table at ``path``: version n + 1 is made
+    from version n and the batch, so a batch that runs again writes the same version. Version 0 is
+    what the table held before the stream; without one, batch 0 starts it."""
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        incoming = batch.dropDuplicates([rules.key])
-        if number == 0:
-            out = incoming
-        else:
-            out = merge.ownership_merge(spark.read.parquet(f"{path}/v{number - 1}"), incoming, rules).drop("outcome")
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        out = batch.dropDuplicates([rules.key])
+        if number or _exists(spark, f"{path}/v0/_SUCCESS"):
+            out = merge.ownership_merge(spark.read.parquet(f"{path}/v{number}"), out, rules).drop("outcome")
+        out.write.mode("overwrite").parquet(f"{path}/v{number + 1}")
 
     return merge_batch
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Runs a stream over what there is now into the table ``name`` in memory."""
-    return (
-        stream.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is now, each batch into a table of its own under ``path`` (a
+    batch that runs again overwrites its own), and reads the result: all batches or, in mode
+    ``complete``, the last. No row passes through the driver."""
+    spark = stream.sparkSession
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    started = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint)
+    started.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}" if mode == "complete" else f"{path}/batch=*")

@@ -3,17 +3,18 @@ import pytest
 import oracle
 from millrace.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SIZES = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
-def con():
-    return oracle.connection(SF)
+def cons():
+    return {sf: oracle.connection(sf) for sf in SIZES}
 
 
+@pytest.mark.parametrize("sf", SIZES)
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_query_matches_sql(spark, con, name):
-    oracle.check(spark, con, SF, catalog.QUERIES[name], catalog.ORACLES[name])
+def test_query_matches_sql(spark, cons, name, sf):
+    oracle.check(spark, cons[sf], sf, catalog.QUERIES[name], catalog.ORACLES[name])
 
 
 def test_entry_has_a_stable_schema(spark):
