@@ -144,3 +144,177 @@ def strict_int(text: Column) -> Column:
 
 def says_yes(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("y", "yes", "예", "o", "true", "1")
+
+
+#: Elements whose end is a line's end in plain text (fixed values).
+LINE_ENDS = "p|div|br|li|tr|h[1-6]|table|ul|ol|section|article|header|footer|dd|dt"
+
+
+def decode_all(text: Column, passes: int = 5) -> Column:
+    """Named, decimal and hexadecimal references decoded, again while that changes something, at most
+    ``passes`` times. A number that is no character stays as it is."""
+
+    def once(t: Column) -> Column:
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " ")):
+            t = F.replace(t, F.lit(name), F.lit(char))
+        number = lambda m: F.when(m.rlike("^&#[xX]"), F.conv(F.regexp_extract(m, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(m, "^&#([0-9]+);", 1)).try_cast("long")
+        valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+        t = F.aggregate(found, t, lambda s, m: F.when(valid(number(m)), F.replace(s, m, char(number(m)))).otherwise(s))
+        return F.replace(t, F.lit("&amp;"), F.lit("&"))
+
+    # the passes run over a text only while it changes
+    step = lambda s, _: F.when(s["more"], F.struct(once(s["t"]).alias("t"), (once(s["t"]) != s["t"]).alias("more"))).otherwise(s)
+    start = F.struct(text.alias("t"), F.contains(text, F.lit("&")).alias("more"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step, lambda s: s["t"])
+
+
+def html_to_text(markup: Column) -> Column:
+    """The text of markup with its line breaks: without scripts, styles, comments and control
+    characters, blocks on lines of their own, white space within a line as one space, no empty lines."""
+    out = F.regexp_replace(markup, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    out = F.regexp_replace(out, r"[\t\n\r\x0B\f]+", " ")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_ENDS})(?:\s[^>]*)?/?>", "\n")
+    out = F.regexp_replace(strip_tags(out), r"[\x00-\x09\x0B-\x1F\x7F]", "")
+    out = F.replace(decode_entities(out, 1), F.lit(" "), F.lit(" "))
+    lines = F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+#: Long names of provinces with their short ones, longest first where one begins another (fixed values).
+PROVINCES = (
+    ("서울특별시", "서울"), ("부산광역시", "부산"), ("대구광역시", "대구"), ("인천광역시", "인천"), ("광주광역시", "광주"),
+    ("대전광역시", "대전"), ("울산광역시", "울산"), ("세종특별자치시", "세종"), ("경기도", "경기"), ("강원특별자치도", "강원"),
+    ("강원도", "강원"), ("충청북도", "충북"), ("충청남도", "충남"), ("전북특별자치도", "전북"), ("전라북도", "전북"),
+    ("전남광주통합특별시", "전남광주"), ("전라남도", "전남"), ("경상북도", "경북"), ("경상남도", "경남"), ("제주특별자치도", "제주"),
+)
+#: Districts that tell the merged province's city from its rest (fixed values).
+CITY_DISTRICTS = "동구|서구|남구|북구|광산구"
+
+
+def province_of(office: Column, above: Column | None = None) -> Column:
+    """The short name of the province that an office (or the one above it) is of: by the beginning of
+    its name, ``전국`` for a central one, ``모름`` where neither says."""
+    above = office if above is None else above
+    out = F.when(F.lit(False), "")
+    for long, short in PROVINCES:
+        out = out.when(above.startswith(long) | office.startswith(long), short)
+    central = r"(부|처|청|위원회|정부산하기관및위원회)$"
+    return out.when(above.rlike(central) | F.substring_index(office, " ", 1).rlike(central), "전국").otherwise("모름")
+
+
+def region_text(text: Column) -> Column:
+    """Comma-separated regions with short provinces and single spaces; the merged province is told by
+    its districts."""
+
+    def short(part: Column) -> Column:
+        out = F.regexp_replace(F.trim(part), r"\s+", " ")
+        out = F.regexp_replace(out, rf"^전남광주(통합특별시)?\s*({CITY_DISTRICTS})(?![가-힣])", "광주 $2")
+        out = F.regexp_replace(out, r"^전남광주(통합특별시)?\s*", "전남 ")
+        for long, name in (("충청북", "충북"), ("충청남", "충남"), ("전라북", "전북"), ("전라남", "전남"), ("경상북", "경북"), ("경상남", "경남")):
+            out = F.regexp_replace(out, rf"^{long}(특별자치도|도)?\s*", f"{name} ")
+        out = F.regexp_replace(out, r"^(경기|강원|제주|전북)(특별자치도|도)?\s*", "$1 ")
+        out = F.regexp_replace(out, r"^(서울|부산|대구|인천|광주|대전|울산)(특별시|광역시)\s*", "$1 ")
+        return F.trim(F.regexp_replace(out, r"^세종특별자치시\s*", "세종 "))
+
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), short), lambda x: x != "")
+    return F.array_join(parts, ", ")
+
+
+def address_parts(address: Column) -> tuple[Column, Column, Column]:
+    """The first two words of an address, and its district only where it is one by its ending."""
+    words = F.split(F.trim(address), r"\s+")
+    first, second = (F.nullif(F.get(words, F.lit(i)), F.lit("")) for i in (0, 1))
+    return first, second, F.when(second.rlike("(시|군|구)$"), second)
+
+
+def source_of(key: Column, bare: str = "AL", folded: tuple[str, ...] = ("WN",)) -> Column:
+    """The two-letter source of an id by the letters it begins with; ids without letters have one of
+    their own."""
+    letters = F.upper(F.regexp_extract(key, "^[A-Za-z]+", 0))
+    out = F.when(letters == "", bare)
+    for start in folded:
+        out = out.when(letters.startswith(start), start)
+    return out.otherwise(F.substring(letters, 1, 2))
+
+
+#: Legal forms, single-letter forms and marks that are not shown with a name (fixed values).
+SHOWN_WITHOUT = (
+    r"[(（]\s*[㐀-䶿一-鿿]+\s*[)）]",
+    r"[㈜㈐㈑㈒㈓㈔]",
+    r"\(\s*(?:주|유|의|재|사)\s*\)|주식회사|유한회사|유한책임회사|합자회사|의료법인|사회복지법인|사단법인|재단법인|학교법인|특수법인|영농조합법인",
+    r"[㐀-䶿一-鿿]",
+    r"[★※【】◇◆□■○●▲▼〔〕\[\]]",
+)
+
+
+def shown_name(name: Column) -> Column:
+    """An organisation's name as it is shown: without legal forms, Chinese characters and marks, unless
+    two letters or fewer would be left."""
+    whole = F.trim(F.coalesce(name, F.lit("")))
+    out = whole
+    for i, pattern in enumerate(SHOWN_WITHOUT):
+        out = F.regexp_replace(out, pattern, "" if i in (0, 3) else " ")
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.when(F.length(out) <= 2, whole).otherwise(out)
+
+
+def listed_in_brackets(title: Column, commas: int = 2) -> Column:
+    """The first bracket of a title that lists several things, or null."""
+    inside = F.regexp_extract_all(title, F.lit("[(（]([^)）]*)[)）]"), F.lit(1))
+    return F.get(F.filter(inside, lambda x: F.length(x) - F.length(F.translate(x, ",，", "")) >= commas), F.lit(0))
+
+
+def split_outside_brackets(text: Column) -> Column:
+    """The parts of a text between commas that are in no bracket, brackets nesting; trimmed, none empty."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s, c):
+        depth = F.when(c.isin("(", "（", "["), s["depth"] + 1).when(c.isin(")", "）", "]"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        cut = c.isin(",", "，") & (s["depth"] == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(cut, "").otherwise(F.concat(s["part"], c)).alias("part"),
+            F.when(cut, F.concat(s["parts"], F.array(s["part"]))).otherwise(s["parts"]).alias("parts"),
+        )
+
+    parts = F.aggregate(F.split(text, ""), start, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: cut behind a full stop, question or exclamation mark and white space."""
+    return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: x != "")
+
+
+#: Titles of pages that are no content, and traces of failed applications and databases (fixed values).
+LOGIN_TITLES = ("로그인", "회원 로그인", "login", "log in", "sign in", "member login")
+BLOCK_TITLES = ("403 forbidden", "forbidden", "access denied", "403 access denied", "접근이 거부되었습니다", "접근 권한이 없습니다", "접근이 제한되었습니다", "attention required! | cloudflare", "just a moment...")
+ERROR_TITLES = ("400 bad request", "404 not found", "not found", "500 internal server error", "internal server error", "502 bad gateway", "503 service unavailable", "service unavailable", "504 gateway time-out", "504 gateway timeout", "runtime error", "페이지를 찾을 수 없습니다", "오류가 발생했습니다")
+APP_TRACES = r"(?s)\b(?:Fatal error|Parse error)\s*:\s*\S.{0,1200}?\bon line\s+\d+|Server Error in '[^']{0,200}' Application"
+DB_TRACES = r"You have an error in your SQL syntax|\bUncaught mysqli_sql_exception\b|\bSQLSTATE\[[0-9A-Z]{5}\]\s*:|\bORA-\d{5}\s*:"
+
+
+def error_signature(title: Column, text: Column, has_password: Column) -> Column:
+    """What kind of failure a page shows, or null: by its whole title, then by traces in its text. A
+    login's title counts only with a field for a password."""
+    t = F.lower(title)
+    return (
+        F.when(t.isin(*LOGIN_TITLES) & has_password, "login")
+        .when(t.isin(*BLOCK_TITLES), "blocked")
+        .when(t.isin(*ERROR_TITLES), "error")
+        .when(text.rlike(APP_TRACES), "application trace")
+        .when(text.rlike(DB_TRACES), "database trace")
+    )
+
+
+def without_parts(values: Column) -> Column:
+    """The elements that are part of no other element, in order, each once."""
+    each = F.array_distinct(values)
+    return F.filter(each, lambda x: ~F.exists(each, lambda y: (y != x) & F.contains(y, x)))
+
+
+def hashtag(name: Column) -> Column:
+    """A name as a tag: without legal forms, brackets and what stands in them, blanks and marks."""
+    return F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(shown_name(name), r"[(（][^)）]*[)）]", ""), r"[^0-9A-Za-z가-힣]", ""))

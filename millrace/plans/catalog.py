@@ -1,6 +1,6 @@
 """Query name -> builder, and query name -> oracle SQL."""
 
-from millrace.plans import classification, merging, pay, selections, statistics, streams, texts  # noqa: F401
+from millrace.plans import calendar, classification, merging, pay, selections, statistics, streams, texts, wording  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "competition_ratio"
