@@ -22,8 +22,8 @@ TITLES = (
     ("방사선사 채용", "hidden", "kept without being shown", "방사선사"),
     ("원무과 직원 채용 간호사", "trash", "no word of ours (title: 간호사)", "간호사"),
     ("시설 청소원 모집", "trash", "no word of ours", ""),
-    ("물리치료사 채용 공고 [마감]", "trash", "title says that it is over", "마감]"),
-    ("통합채용 필기시험 장소 변경 공고", "trash", "title says that it is over", "시험 장소"),
+    ("물리치료사 채용 공고 [마감]", "trash", "title says that it is over", "[마감"),
+    ("통합채용 필기시험 장소 변경 공고", "trash", "title says that it is over", "필기시험"),
     ("방사선치료사 채용", "trash", "no word of ours", ""),
     (None, "trash", "no word of ours", ""),
 )
