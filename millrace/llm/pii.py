@@ -214,7 +214,7 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
         .select("level", "entity", "n_entity"),
         "pii-often",
     )
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
+    words = _words(options)
     pairs = written(joined_to_groups(pairs.select("of", "entity"), often, ["entity"], "n_entity"), "pii-pairs")
     ids = pairs.select("of").distinct()
     few = ids.count() <= BROADCAST_ROWS
@@ -257,6 +257,26 @@ def disclosing(texts: DataFrame, held: DataFrame, options: Disclosure = Disclosu
     )
 
 
+def _words(options: Disclosure):
+    """The different words of a text that may be terms."""
+    return lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\p{{L}}{{{options.letters},}}+"), F.lit(0)))
+
+
+def terms_held(texts: DataFrame, held: DataFrame, told: DataFrame, options: Disclosure) -> DataFrame:
+    """(of, term, certainty): the disclosing terms (``told``, written) that the texts have of the entities
+    that they hold (``held``: of, entity). A text's own words are looked up, so an entity of many
+    texts and terms makes no rows but those that are there."""
+    few = told.count() <= BROADCAST_ROWS
+    near = lambda df: F.broadcast(df) if few else df
+    ids = written(held.join(near(told.select("entity").distinct()), "entity", "left_semi"), "pii-held")
+    some = ids.select("of").distinct()
+    own = texts.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "of", "left_semi")
+    each = own.select("of", F.explode(_words(options)(F.lower("text"))).alias("term"))
+    there = each.join(near(told.select("term").distinct()), "term", "left_semi").distinct()
+    met = there.join(ids, "of").join(near(told.select("entity", "term", "certainty")), ["entity", "term"])
+    return met.groupBy("of", "term").agg(F.max("certainty").alias("certainty"))
+
+
 def with_spans(
     df: DataFrame,
     text_col: str = "text",
@@ -287,18 +307,9 @@ def with_spans(
     told = written(disclosing(rows.select("of", "text"), held, options), "pii-terms")
     if told.isEmpty():
         return unpacked(found.withColumn("spans", F.col("base")), carry, ["base", "spans"])
-    # the terms of an entity as one row, and a text's as one map
     pair = F.struct("term", "certainty")
-    by_entity = written(told.groupBy("entity", "n_entity").agg(F.collect_list(pair).alias("pairs")), "pii-by-entity")
-    terms = written(
-        joined_to_groups(held.select("of", "entity").distinct(), by_entity, ["entity"], "n_entity")
-        .select("of", F.explode("pairs").alias("pair"))
-        .groupBy("of", F.col("pair.term").alias("term"))
-        .agg(F.max("pair.certainty").alias("certainty"))
-        .groupBy("of")
-        .agg(F.map_from_entries(F.collect_list(pair)).alias("terms")),
-        "pii-texts",
-    )
+    found_terms = terms_held(rows.select("of", "text"), held.select("of", "entity").distinct(), told, options)
+    terms = written(found_terms.groupBy("of").agg(F.map_from_entries(F.collect_list(pair)).alias("terms")), "pii-texts")
     few = terms.count() <= BROADCAST_ROWS
     near = lambda table: F.broadcast(table) if few else table
     texts = rows.select("of", "text").join(near(terms), "of").dropDuplicates(["of"])
