@@ -77,3 +77,42 @@ def self_pairs(df: DataFrame, on: Sequence[str], key: str, differ: str, carry: S
     """Pairs of rows that agree in ``on`` and differ in ``differ``, smaller key first."""
     side = lambda n: df.select(*on, F.col(key).alias(f"{key}_{n}"), F.col(differ).alias(f"{differ}_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in carry])
     return side("a").join(side("b"), list(on)).filter((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col(f"{differ}_a") != F.col(f"{differ}_b")))
+
+
+def with_or_without(left: DataFrame, right: DataFrame, key: str, region: str, take: str) -> DataFrame:
+    """``left`` with the least ``take`` of the right rows of equal key and region, else that of the only
+    right row of equal key, and by which of them it was found. Both sides of the joins have one row
+    a key, so no row is multiplied."""
+    whole = right.groupBy(key, region).agg(F.min(take).alias("_whole"))
+    short = right.groupBy(key).agg(F.min(take).alias("_short"), F.count("*").alias("_n"))
+    out = left.join(whole, [key, region], "left").join(short.filter("_n = 1").drop("_n"), key, "left")
+    by = F.when(F.col("_whole").isNotNull(), "key").when(F.col("_short").isNotNull(), "without region")
+    return out.withColumns({"matched": F.coalesce("_whole", "_short"), "by": by}).drop("_whole", "_short")
+
+
+def by_mutual_prefix(left: DataFrame, right: DataFrame, key: str, on: Sequence[str], text: str, take: str) -> DataFrame:
+    """For each left row the one right row that agrees in ``on`` and whose text begins the left one's or
+    is begun by it, and how many do. Names are joined by equality; the prefix test is a filter."""
+    other = right.select(*on, F.col(text).alias("_text"), F.col(take).alias("_take"))
+    met = left.select(key, *on, text).join(other, list(on), "left")
+    fits = met.filter(F.col(text).startswith(F.col("_text")) | F.col("_text").startswith(F.col(text)))
+    found = fits.groupBy(key).agg(F.min("_take").alias("_only"), F.count("*").alias("_n"))
+    out = left.select(key).join(found, key, "left").withColumn("n_found", F.coalesce("_n", F.lit(0)))
+    return out.select(key, F.when(F.col("n_found") == 1, F.col("_only")).alias("matched"), "n_found")
+
+
+def rival_verdicts(df: DataFrame, by: str, day: str, key: str, theirs: Column, within: int) -> DataFrame:
+    """For each row that is ``theirs``, the days to the nearest of the others of its group (negative: the
+    other was before), of two equally near ones the earlier, and who was faster; beyond ``within``
+    days there is none. Two running windows, no join."""
+    mine = F.when(~theirs, F.col(day))
+    order = Window.partitionBy(by).orderBy(day, theirs.cast("int"))
+    before = F.last(mine, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(mine, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back, ahead = F.date_diff("_before", day), F.date_diff("_after", day)
+    near = F.when(F.col("_after").isNull() | (-back <= ahead), back).otherwise(ahead)
+    out = df.withColumns({"_before": before, "_after": after}).filter(theirs)
+    days = F.when(F.abs(near) <= within, near)
+    out = out.withColumn("days", F.when(F.col("_before").isNull(), F.when(F.abs(ahead) <= within, ahead)).otherwise(days))
+    verdict = F.when(F.col("days").isNull(), "missing").when(F.col("days") < 0, "faster").when(F.col("days") > 0, "slower").otherwise("same")
+    return out.withColumn("verdict", verdict).drop("_before", "_after")

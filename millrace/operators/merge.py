@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,9 @@ class Ownership:
     ``owned``: taken from the incoming row if its source owns the stored row and nobody edited the
     field by hand. ``insert_only``: never updated. ``keep_if_null``: owned, but an incoming null
     erases nothing. ``follows``: column -> the owned column with which alone it changes. ``maps``:
-    merged key by key, the incoming side wins, an empty map changes nothing.
+    merged key by key, the incoming side wins, an empty map changes nothing. ``holds``: a flag -> the
+    flag of hidden rows, on which it is always false. ``fallback``: takes what is not null, incoming
+    first, locked or not. ``stamps``: a time -> the map with whose entries alone it moves on.
     """
 
     key: str
@@ -28,6 +30,9 @@ class Ownership:
     keep_if_null: tuple[str, ...] = ()
     follows: dict[str, str] = field(default_factory=dict)
     maps: tuple[str, ...] = ()
+    holds: dict[str, str] = field(default_factory=dict)
+    fallback: tuple[str, ...] = ()
+    stamps: dict[str, str] = field(default_factory=dict)
     #: Old names of sources that have a new one: new -> old.
     renamed: dict[str, str] = field(default_factory=dict)
 
@@ -51,6 +56,7 @@ def ownership_merge(stored: DataFrame, incoming: DataFrame, rules: Ownership, ou
     locked = F.coalesce(F.col(f"o.{rules.locked}"), F.lit(False)) if rules.locked else F.lit(False)
     by_hand = lambda c: F.coalesce(F.array_contains(F.col(f"o.{rules.edited}"), c), F.lit(False))
     free = lambda c: had & has & owner & ~by_hand(c) & ~locked
+    touched = owner | theirs.isNull()  # other rows are refused whole
 
     def merged(c: str) -> Column:
         old, new = F.col(f"o.{c}"), F.col(f"n.{c}")
@@ -60,6 +66,14 @@ def ownership_merge(stored: DataFrame, incoming: DataFrame, rules: Ownership, ou
             some = free(c) & (F.size(F.coalesce(new, F.create_map().cast("map<string,string>"))) > 0)
             kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
             return F.when(~had, new).when(some, F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), new)).otherwise(old)
+        if c in rules.holds:
+            hidden = F.coalesce(F.col(f"o.{rules.holds[c]}"), F.lit(False))
+            return F.when(~had, new).when(has & touched & ~locked & ~by_hand(c) & hidden, False).when(free(c), new).otherwise(old)
+        if c in rules.fallback:
+            return F.when(~had, new).when(has & touched, F.coalesce(new, old)).otherwise(old)
+        if c in rules.stamps:
+            some = F.size(F.coalesce(F.col(f"n.{rules.stamps[c]}"), F.create_map().cast("map<string,string>"))) > 0
+            return F.when(~had | has & touched & some, new).otherwise(old)
         if c in rules.follows:
             lead = rules.follows[c]
             changes = ~F.col(f"o.{lead}").eqNullSafe(F.col(f"n.{lead}"))
@@ -79,6 +93,54 @@ def ownership_merge(stored: DataFrame, incoming: DataFrame, rules: Ownership, ou
     return both.select(*cols, what.alias(outcome))
 
 
+def blanks_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Blank texts of some columns as nulls, as dates, times and numbers are read from them."""
+    return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in columns})
+
+
+def rejected(df: DataFrame, reason: str, key: str, sample: int = 20, length: int = 160) -> DataFrame:
+    """For each reason (cut at ``length``) how many rows were rejected for it, and the least ``sample``
+    keys of them; rows without a reason are good. Samples are kept small before they meet."""
+    why = F.substring(reason, 1, length)
+    bad = df.filter(F.col(reason).isNotNull()).select(why.alias("reason"), F.col(key).alias("key"))
+    counts = bad.groupBy("reason").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("reason").orderBy("key"))
+    few = bad.withColumn("_at", first).filter(F.col("_at") <= sample).groupBy("reason").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    return counts.join(few, "reason")
+
+
+def soft_deleted(df: DataFrame, when: Column, reason: str, on, hidden: str = "hidden", why: str = "hidden_reason", date: str = "hidden_on") -> DataFrame:
+    """Rows hidden with a reason and a day where ``when`` holds and no reason stands yet; none is dropped."""
+    now = F.coalesce(when, F.lit(False)) & F.col(why).isNull()
+    return df.withColumns(
+        {
+            hidden: F.when(now, True).otherwise(F.col(hidden)),
+            why: F.when(now, reason).otherwise(F.col(why)),
+            date: F.when(now, F.lit(on).cast("date")).otherwise(F.col(date)),
+        }
+    )
+
+
+def relabelled(df: DataFrame, label: str, new: Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its label replaced where ``new`` is not null, and the rows of each label before and
+    after, from one pass."""
+    marked = df.withColumn("_new", F.coalesce(new, F.col(label)))
+    each = F.explode(F.array(F.struct(F.col(label).alias("label"), F.lit(1).alias("b"), F.lit(0).alias("a")), F.struct(F.col("_new").alias("label"), F.lit(0).alias("b"), F.lit(1).alias("a"))))
+    counts = marked.select(each.alias("x")).groupBy("x.label").agg(F.sum("x.b").alias("n_before"), F.sum("x.a").alias("n_after"))
+    return marked.withColumn(label, F.col("_new")).drop("_new"), counts
+
+
+def reload(df: DataFrame, path: str) -> tuple[int, int]:
+    """The table at ``path`` replaced by ``df``; rows written, as the writer saw them, and rows read
+    back. They differ only if the store lost some, which is an error."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+    written, read = seen.get["n"], df.sparkSession.read.parquet(path).count()
+    if written != read:
+        raise ValueError(f"{written} rows were written to {path}, and {read} are there")
+    return written, read
+
+
 def overlay(base: DataFrame, edits: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``base`` with ``edits`` (key, field, value, seq) laid over its text ``fields``: the latest
     edit of a field counts, a blank one is none, an equal one changes nothing. Adds

@@ -12,7 +12,7 @@ from millrace.plans.registry import query, table
 from millrace.streaming import jobs
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def folder(spark: SparkSession, name: str) -> str:
     """A new folder for a query's state: in the shared folder that the cluster names; a temporary one
     only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,8 +32,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ran(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    folder = _folder(spark, "stream")
-    return jobs.run_available(stream, f"{folder}/rows", f"{folder}/state", mode)
+    at = folder(spark, "stream")
+    return jobs.run_available(stream, f"{at}/rows", f"{at}/state", mode)
 
 
 @query("SELECT day, count(*) AS n_visits FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, event_type FROM events) GROUP BY day")

@@ -62,3 +62,29 @@ def robots_allow(rules: Column, path: Column) -> Column:
     fit = F.filter(rules, lambda r: path.startswith(r["path"]))
     best = F.array_max(F.transform(fit, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))
     return F.coalesce(best["allow"], F.lit(True))
+
+
+def crawl_delay(text: Column, agent: str = "*") -> Column:
+    """The seconds between requests that the groups of a robots.txt for ``agent`` ask for; null for none."""
+    start = F.struct(F.lit(False).alias("ours"), F.lit(False).alias("named"), F.lit(None).cast("double").alias("delay"))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+
+    def step(s, line):
+        key = F.lower(F.trim(F.substring_index(line, ":", 1)))
+        value = F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+        is_agent = key == "user-agent"
+        ours = F.when(is_agent, (F.lower(value) == agent.lower()) | (s["ours"] & s["named"])).otherwise(s["ours"])
+        named = F.when(is_agent, True).when(line == "", s["named"]).otherwise(False)
+        delay = F.when((key == "crawl-delay") & s["ours"] & s["delay"].isNull(), value.try_cast("double")).otherwise(s["delay"])
+        return F.struct(ours.alias("ours"), named.alias("named"), delay.alias("delay"))
+
+    return F.aggregate(lines, start, step)["delay"]
+
+
+def pages_differ(pages: DataFrame, site: str, number: str, rows: Column) -> DataFrame:
+    """Whether a site's second page has other rows than its first: paging that answers with the same
+    page again is none. ``rows``: an array of what tells rows apart."""
+    sums = pages.select(site, number, F.xxhash64(F.array_sort(rows)).alias("_sum"), F.size(rows).alias("_n"))
+    first, second = (F.max_by(F.when(F.col(number) == i, F.col("_sum")), F.when(F.col(number) == i, F.lit(1))) for i in (1, 2))
+    some = F.max(F.when(F.col(number) == 2, F.col("_n")))
+    return sums.groupBy(site).agg((F.coalesce(first != second, F.lit(False)) & F.coalesce(some > 0, F.lit(False))).alias("pages"))
