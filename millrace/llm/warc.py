@@ -2,7 +2,9 @@
 
 Reading plans one partition for each archive file. Filters on the record type and on header fields
 are pushed into the reader, which parses a record's header block first and, for a record that the
-filters reject, seeks over its payload (or, in a compressed file, runs over it without decoding).
+filters reject, seeks over its payload. In a compressed archive each record is a gzip member whose own
+header says how long it is (an extra field, which other readers pass over), so of a rejected record
+only the first few kilobytes are inflated; archives of others, without that field, are inflated whole.
 Writing makes one archive for each task, under a temporary name until the task is committed.
 
 Paths go through pyarrow's file systems, so an archive can lie in any store that they know.
@@ -15,7 +17,9 @@ import gzip
 import hashlib
 import io
 import posixpath
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,6 +70,56 @@ def record_bytes(fields: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: The subfield of a gzip header with the member's length and that of what it holds.
+LENGTHS = b"sl"
+#: Bytes read at once while a record's header is looked for.
+PEEK = 4096
+
+
+def member_bytes(record: bytes, level: int) -> bytes:
+    """A record as a gzip member that says how long it is."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(record) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 20)
+    extra = LENGTHS + struct.pack("<HQQ", 16, len(head) + 20 + len(body) + 8, len(record))
+    return head + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def member_length(stream) -> int | None:
+    """The length that the gzip member at the stream's place says it has, the stream standing behind its
+    header; None at the end, 0 where it does not say."""
+    head = stream.read(12)
+    if len(head) < 12:
+        return None
+    if head[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    extra = stream.read(struct.unpack("<H", head[10:])[0])
+    while len(extra) >= 4:
+        n = struct.unpack("<H", extra[2:4])[0]
+        if extra[:2] == LENGTHS and n == 16:
+            return struct.unpack("<Q", extra[4:12])[0]
+        extra = extra[4 + n :]
+    return 0
+
+
+class Member(io.RawIOBase):
+    """What a gzip member holds, inflated as far as it is read."""
+
+    def __init__(self, stream):
+        self.stream, self.inflate = stream, zlib.decompressobj(-zlib.MAX_WBITS)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.inflate.eof:
+            data = self.inflate.decompress(self.inflate.unconsumed_tail or self.stream.read(PEEK), len(into))
+            if data:
+                into[: len(data)] = data
+                return len(data)
+        return 0
+
+
 def read_header(stream) -> dict[str, str] | None:
     """The fields of the next record, or none at the end. Blank lines before a record are skipped."""
     line = stream.readline()
@@ -125,23 +179,46 @@ class WarcReader(DataSourceReader):
             return
         store, _ = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(partition.path) as raw:
-            packed = partition.path.endswith(".gz")
-            yield from self._batches(gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20))
+            stream = io.BufferedReader(raw, 1 << 20)
+            if partition.path.endswith(".gz"):
+                says = member_length(stream)
+                stream.seek(0)
+                yield from self._batches(self._members(stream) if says else self._records(gzip.GzipFile(fileobj=stream)))
+            else:
+                yield from self._batches(self._records(stream))
 
-    def _batches(self, stream) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
+    def _rejected(self, fields: dict[str, str]) -> bool:
+        return any(fields.get(name) not in values for name, values in self.wanted)
+
+    def _records(self, stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """The wanted records of a stream: fields, and the payload if it is asked for."""
         while (fields := read_header(stream)) is not None:
             length = int(fields.get("content-length", 0))
-            if any(fields.get(name) not in values for name, values in self.wanted):
+            if self._rejected(fields) or not self.payload:
                 stream.seek(length, 1)
-                continue
-            if self.payload:
-                block = stream.read(length)
+                if not self._rejected(fields):
+                    yield fields, None
             else:
-                block = None
-                stream.seek(length, 1)
-            full = int(fields.get(LENGTH_FIELD.lower(), length))
+                yield fields, stream.read(length)
+
+    def _members(self, stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        """The same of an archive whose members say how long they are."""
+        start = 0
+        while (length := member_length(stream)) is not None:
+            record = io.BufferedReader(Member(stream), PEEK)
+            fields = read_header(record)
+            if fields is not None and not self._rejected(fields):
+                yield fields, record.read(int(fields.get("content-length", 0))) if self.payload else None
+            if not length:
+                raise ValueError("a member of the archive does not say how long it is")
+            start += length
+            stream.seek(start)
+
+    def _batches(self, records: Iterator[tuple[dict[str, str], bytes | None]]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for fields, block in records:
+            full = int(fields.get(LENGTH_FIELD.lower(), fields.get("content-length", 0)))
             rows.append((*(fields.get(h.lower()) for h in HEADERS.values()), full, block))
             held += 500 + (len(block) if block else 0)
             if held >= BATCH_BYTES:
@@ -185,7 +262,7 @@ class WarcWriter(DataSourceArrowWriter):
                         fields[LENGTH_FIELD] = str(row["payload_bytes"])
                     record = record_bytes(fields, block)
                     # each record is a gzip member of its own, as readers of WARC expect
-                    out.write(gzip.compress(record, self.compress, mtime=0) if self.compress else record)
+                    out.write(member_bytes(record, self.compress) if self.compress else record)
         return message
 
     def commit(self, messages):
