@@ -318,3 +318,32 @@ def without_parts(values: Column) -> Column:
 def hashtag(name: Column) -> Column:
     """A name as a tag: without legal forms, brackets and what stands in them, blanks and marks."""
     return F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(shown_name(name), r"[(（][^)）]*[)）]", ""), r"[^0-9A-Za-z가-힣]", ""))
+
+
+#: Owners' names before an institution's, dropped only where an institution's noun follows (fixed values).
+OWNER = r"^\s*[가-힣A-Za-z0-9]{1,14}(?:의료재단|복지재단|의료법인|복지법인|재단|학원|법인)\s+"
+INSTITUTION = "병원|의원|요양원|의료원|센터|클리닉"
+#: Public institutions whose names may begin with their province (fixed values).
+PROVINCIAL_TAIL = "(?:보건소|보건지소|보건의료원|치매안심센터|치매센터)$"
+
+
+def institution_key(name: Column, drop_province: bool = False) -> Column:
+    """A key for an institution's differing names: half width, without legal forms, without its owner's
+    name where an institution's follows, what stands in brackets kept, no separators, lower case. On
+    demand without the province that a public institution's name begins with."""
+    key = F.replace(F.translate(F.coalesce(name, F.lit("")), FULL_WIDTH + "　", HALF_WIDTH + " "), F.lit("("), F.lit(" ("))
+    for form in LEGAL_FORMS:
+        spaced = form.replace("(", " (") if form.startswith("(") else form
+        key = F.replace(key, F.lit(spaced), F.lit(" "))
+    owned = key.rlike(rf"{OWNER}.*(?:{INSTITUTION})")
+    key = F.when(owned, F.regexp_replace(key, OWNER, "")).otherwise(key)
+    key = F.lower(F.regexp_replace(key, r"[\s·・,()\[\]‐‑–—\-/]", ""))
+    if not drop_province:
+        return key
+    provinces = "|".join(long for long, _ in PROVINCES)
+    return F.when(key.rlike(PROVINCIAL_TAIL), F.regexp_replace(key, f"^(?:{provinces})", "")).otherwise(key)
+
+
+def code_point_hash(text: Column) -> Column:
+    """The unsigned 32-bit hash ``h * 31 + point`` over code points."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % (1 << 32))

@@ -35,16 +35,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def merging_sink(path: str, rules: merge.Ownership) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges batch n into the table at ``path``: version n + 1 is made
-    from version n and the batch, so a batch that runs again writes the same version. Version 0 is
-    what the table held before the stream; without one, batch 0 starts it."""
+    """A foreachBatch function that merges batch n into the table at ``path``: version n is made from
+    version n - 1 and the batch, so a batch that runs again writes the same version. What the table
+    held before the stream is under ``base``; without that, batch 0 starts it."""
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         out = batch.dropDuplicates([rules.key])
-        if number or _exists(spark, f"{path}/v0/_SUCCESS"):
-            out = merge.ownership_merge(spark.read.parquet(f"{path}/v{number}"), out, rules).drop("outcome")
-        out.write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+        before = f"{path}/v{number - 1}" if number else f"{path}/base"
+        if number or _exists(spark, before):
+            out = merge.ownership_merge(spark.read.parquet(before), out, rules).drop("outcome")
+        out.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return merge_batch
 
