@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import split_outside_brackets
+
 #: Marks of what is required and what is only preferred (fixed values).
 REQUIRED_MARKS = ("필수", "required", "must")
 PREFERRED_MARKS = ("우대", "preferred", "plus")
@@ -59,22 +61,32 @@ def single_licence(wanted: Column, names: Sequence[str], text: Column) -> Column
     return F.when(narrow, held[0]).otherwise(wanted)
 
 
-def required_and_preferred(text: Column, separators: str = r"[,\n;/]") -> tuple[Column, Column]:
+#: What stands behind a mark to say that there is no such condition (fixed values).
+NONE_SUCH = r"(?:해당\s*(?:사항)?\s*)?(?:없음|없습니다|무관|none)\.?"
+
+
+def required_and_preferred(text: Column, separators: str = ",\n;/") -> tuple[Column, Column]:
     """The pieces of a list of conditions that are required, and those that are preferred. A mark
-    before a piece changes what follows; one at a piece's end moves that piece alone."""
+    before a piece changes what follows; one at a piece's end moves that piece alone. Marks and
+    separators within brackets are none, and a mark with "none" behind it says nothing: neither it nor
+    what follows becomes preferred. What has both marks stays required."""
     marks = lambda ms: "|".join(ms)
-    pieces = F.filter(F.transform(F.split(text, separators), lambda x: F.trim(x)), lambda p: p != "")
+    pieces = split_outside_brackets(text, separators)
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(False).alias("preferred"), none.alias("must"), none.alias("may"))
-    all_marks = marks((*REQUIRED_MARKS, *PREFERRED_MARKS))
+    word = r"\s*(?:사항|조건|자격|요건)?"
+    lead = rf"(?i)^[\s\[(（○●•▪■·-]*({{}}){word}[\])）]?\s*(?:[:：-]\s*|\s+|$)"
+    must_lead, may_lead = lead.format(marks(REQUIRED_MARKS)), lead.format(marks(PREFERRED_MARKS))
+    tail = rf"(?i)\s*({marks(PREFERRED_MARKS)})[.\s]*$"
 
     def step(s, piece):
-        leads_may = piece.rlike(rf"(?i)^\W*({marks(PREFERRED_MARKS)})")
-        leads_must = piece.rlike(rf"(?i)^\W*({marks(REQUIRED_MARKS)})")
-        tail_may = piece.rlike(rf"(?i)({marks(PREFERRED_MARKS)})\W*$") & ~leads_may
-        mode = F.when(leads_may, True).when(leads_must, False).otherwise(s["preferred"])
-        bare = F.trim(F.regexp_replace(piece, rf"(?i)^\W*({all_marks})\s*:?|({all_marks})\W*$", ""))
-        here = F.when(bare == "", none).otherwise(F.array(bare))
+        leads_may, leads_must = piece.rlike(may_lead), piece.rlike(must_lead)
+        rest = F.trim(F.regexp_replace(F.regexp_replace(piece, may_lead, ""), must_lead, ""))
+        empty = (leads_may | leads_must) & rest.rlike(rf"(?i)^{NONE_SUCH}$")
+        tail_may = piece.rlike(tail) & ~leads_may & ~rest.rlike(rf"(?i)({marks(REQUIRED_MARKS)})")
+        mode = F.when(empty, s["preferred"]).when(leads_may, True).when(leads_must, False).otherwise(s["preferred"])
+        bare = F.when(tail_may | mode, F.trim(F.regexp_replace(rest, tail, ""))).otherwise(rest)
+        here = F.when(empty | (bare == ""), none).otherwise(F.array(bare))
         may = mode | tail_may
         return F.struct(
             mode.alias("preferred"),
@@ -92,12 +104,6 @@ def complete_or_empty(columns: Sequence[Column]) -> Column:
     return (filled == 0) | (filled == len(columns))
 
 
-def split_outside_brackets(text: Column) -> Column:
-    """The parts of a text between commas that are in no brackets. Brackets do not nest."""
-    parts = F.regexp_extract_all(text, F.lit(r"((?:[^,(\[]|\([^)]*\)?|\[[^\]]*\]?)+)"), F.lit(1))
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
-
-
 #: Units of money amounts in won, and words for the period that one is paid for (fixed values).
 UNITS = {"억": 100_000_000, "만": 10_000, "천": 1_000}
 PERIODS = (("시급|시간당", "hour"), ("일급|일당", "day"), ("월급|월|매월", "month"), ("연봉|연|매년", "year"))

@@ -266,13 +266,14 @@ def listed_in_brackets(title: Column, commas: int = 2) -> Column:
     return F.get(F.filter(inside, lambda x: F.length(x) - F.length(F.translate(x, ",，", "")) >= commas), F.lit(0))
 
 
-def split_outside_brackets(text: Column) -> Column:
-    """The parts of a text between commas that are in no bracket, brackets nesting; trimmed, none empty."""
+def split_outside_brackets(text: Column, separators: str = ",，") -> Column:
+    """The parts of a text between separators (single characters) that are in no bracket, brackets
+    nesting; trimmed, none empty."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, c):
         depth = F.when(c.isin("(", "（", "["), s["depth"] + 1).when(c.isin(")", "）", "]"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        cut = c.isin(",", "，") & (s["depth"] == 0)
+        cut = c.isin(*separators) & (s["depth"] == 0)
         return F.struct(
             depth.alias("depth"),
             F.when(cut, "").otherwise(F.concat(s["part"], c)).alias("part"),

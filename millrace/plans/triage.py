@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import triage
+from millrace.functions import labels, triage
 from millrace.plans.registry import query, table
 from millrace.plans.wording import chosen, chosen_sql
 
@@ -236,3 +236,32 @@ def liveness_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     strikes = rows.withColumn("run", run).filter("state = 'gone'").groupBy("user_id", "run").count().groupBy("user_id").agg(F.max("count").alias("strikes"))
     hide = (F.coalesce("strikes", F.lit(0)) >= 2) | (F.col("n_closed") > 0)
     return checks.join(strikes, "user_id", "left").select("user_id", "n_gone", "n_closed", hide.alias("hide"))
+
+
+CONDITIONS = (
+    ("필수: 면허, 경력 2년 우대, 차량 / 우대: 영어, 일어 ; required: shift", "면허|차량|shift", "경력 2년|영어|일어"),
+    ("물리치료사 면허증(기타: 도수치료, 필라테스 우대), 운전", "물리치료사 면허증(기타: 도수치료, 필라테스 우대)|운전", ""),
+    ("우대 없음, 면허 소지자", "면허 소지자", ""),
+    ("[우대사항] 소아 경력, [필수] 면허", "면허", "소아 경력"),
+    ("면허 필수 경력 우대", "면허 필수 경력 우대", ""),
+    (None, None, None),
+)
+LICENCES = (("both", "물리치료사 면허", "물리치료사"), ("both", "물리치료사 우대", "both"), ("both", "물리치료사, 작업치료사", "both"), ("one", "작업치료사", "one"), ("both", "", "both"))
+
+
+@query(
+    f"""
+    SELECT p_partkey, {chosen_sql([c[1] for c in CONDITIONS], 'p_partkey')} AS must, {chosen_sql([c[2] for c in CONDITIONS], 'p_partkey')} AS may,
+           {chosen_sql([x[2] for x in LICENCES], 'p_partkey')} AS licence, p_partkey % 3 <> 1 AS complete
+    FROM part
+    """
+)
+def conditions_and_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required and preferred conditions, licences narrowed to the one that is named, complete rows."""
+    k = F.col("p_partkey")
+    must, may = labels.required_and_preferred(chosen([c[0] for c in CONDITIONS], k))
+    licence = labels.single_licence(chosen([x[0] for x in LICENCES], k), ("물리치료사", "작업치료사"), chosen([x[1] for x in LICENCES], k))
+    fields = [F.when(k % 3 > 0, k), F.when(k % 3 == 2, k)]
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(must, "|").alias("must"), F.array_join(may, "|").alias("may"), licence.alias("licence"), labels.complete_or_empty(fields).alias("complete")
+    )
