@@ -28,6 +28,8 @@ from millrace.llm.shared import packed, unpacked, written
 
 WINDOW = 10
 GAP = 64
+#: Test terms up to which they are broadcast (as numbers of 8 bytes), so that only their postings are
+#: stored; with more, all terms are indexed.
 MAX_TERMS = 4_000_000
 ITEM_BYTES = 32 << 20
 
@@ -100,7 +102,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None, text_col: str = "text"
     (``term``) to keep; all are kept without it or where it has more than MAX_TERMS rows."""
     wanted = None
     if terms is not None and terms.count() <= MAX_TERMS:
-        vocabulary = np.array(sorted(r["term"] for r in terms.collect()), dtype=np.int64)
+        vocabulary = np.sort(terms.select("term").toArrow().column(0).to_numpy()).astype(np.int64)
         wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return written(rows.mapInArrow(lambda batches: _indexed(batches, wanted), INDEX), "positional-index")
