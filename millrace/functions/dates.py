@@ -169,3 +169,9 @@ def retry_after(attempt: Column, header: Column, now: Column) -> Column:
         own = F.when(attempt == i, minutes * 60).otherwise(own)
     asked = F.when(wait <= BACK_OFF[-1] * 60, wait)
     return F.when(attempt > len(BACK_OFF), None).when(wait.isNotNull(), asked).otherwise(own).cast("long")
+
+
+def believed(day_text: Column, today: Column, days: int = 730) -> Column:
+    """A deadline as it is believed: the day, or nothing and the original text where it is too far ahead."""
+    far = too_far(day_text, today, days)
+    return F.struct(F.when(~far, day_text).alias("day"), F.when(far, day_text).alias("distrusted"))

@@ -270,3 +270,60 @@ def step_names(text: Column, n: Column) -> Column:
         default = default.when(n == k, F.array(*map(F.lit, DEFAULT_STEPS[k])))
     named = F.when(F.size(read) == n, read).when(F.size(read) == n - 1, F.concat(read, F.array(F.lit("최종"))))
     return F.struct(F.coalesce(named, default.otherwise(many)).alias("names"), F.when(named.isNotNull(), "text").otherwise("default").alias("source"))
+
+
+#: What parts two halves of "physical or occupational therapist" when the noun is written once.
+_OR = r"(?:\(\s*|[·ㆍ・/,、&]\s*|(?:및|또는|혹은|와|과)\s+)"
+
+
+def spelt_out(title: Column) -> Column:
+    """A title with the professions' names written in full: blanks within them taken out, halves that
+    share one noun (in brackets, with a mark, before or behind it) as two names. Halves written as one
+    word are no profession, as nobody can tell which is meant."""
+    t = F.coalesce(title, F.lit(""))
+    t = F.regexp_replace(t, r"(?:물\s*리\s*작\s*업|작\s*업\s*물\s*리)\s*치\s*료\s*사", "치료사")
+    t = F.regexp_replace(F.regexp_replace(t, r"물\s*리\s*치\s*료", "물리치료"), r"작\s*업\s*치\s*료", "작업치료")
+    for a, b in (("물리", "작업"), ("작업", "물리")):
+        t = F.regexp_replace(t, rf"{a}\s*{_OR}{b}\s*\)?\s*치료\s*(사|직)", f"{a}치료$1 {b}치료$1")
+        t = F.regexp_replace(t, rf"치료\s*사\s*\(\s*{a}\s*(?:[,·ㆍ/]|및)\s*{b}\s*\)", f"{a}치료사 {b}치료사")
+    return t
+
+
+#: Types of employment with the words for them, longer words first where one holds another (fixed values).
+EMPLOYMENT = (("무기계약", "무기계약직"), ("공무직", "무기계약직"), ("기간제", "기간제"), ("계약직", "계약직"), ("청년인턴", "청년인턴"), ("정규직", "정규직"))
+
+
+def employment_type(by_hand: Column, name: Column, declared: Column, title: Column, attachment: Column) -> Column:
+    """A group's type of employment by five kinds of evidence, and which of them it was: set by hand; in
+    the group's name; the only one declared (an array); in the part of the title that names the group's
+    profession, if the title's types are just those declared; the only one in an attachment."""
+    words = lambda t: F.array_distinct(hits_as(F.coalesce(t, F.lit("")), EMPLOYMENT))
+    only = lambda a: F.when(F.size(a) == 1, a[0])
+    in_title = words(title)
+    agrees = F.array_sort(in_title) == F.array_sort(F.array_distinct(declared))
+    parts = F.split(F.coalesce(title, F.lit("")), r"\s*(?:및|,|·|/)\s*(?![^(]*\))")
+    own = F.flatten(F.transform(F.filter(parts, lambda p: p.rlike("|".join(CONFIRMED))), words))
+    evidence = (
+        ("by hand", F.nullif(F.trim(by_hand), F.lit(""))),
+        ("name", only(words(name))),
+        ("declared", only(F.array_distinct(declared))),
+        ("title", F.when(agrees, only(F.array_distinct(own)))),
+        ("attachment", only(words(attachment))),
+    )
+    source = F.when(F.lit(False), "")
+    for kind, value in evidence:
+        source = source.when(value.isNotNull(), kind)
+    return F.struct(F.coalesce(*[v for _, v in evidence]).alias("employment"), source.alias("source"))
+
+
+def hits_as(text: Column, words: Sequence[tuple[str, str]]) -> Column:
+    """The labels of the words that a text contains."""
+    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(label)) for w, label in words]))
+
+
+def region_of(name: Column, places: Column, regions: Sequence[str]) -> Column:
+    """The longest region in a name, else the only place of work (a list with commas, points or slashes),
+    else null."""
+    found = F.get(hits(squeeze(F.coalesce(name, F.lit(""))), sorted(regions, key=lambda r: (-len(r), r))), F.lit(0))
+    listed = F.filter(F.transform(F.split(F.coalesce(places, F.lit("")), "[,·/]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(found, F.when(F.size(listed) == 1, listed[0]))

@@ -76,7 +76,8 @@ SENTENCES = ("접수기간 ~ {0} 23:50", "원서접수 {2} 09:00 ~ {1} (목) 17:
 @query(
     """
     SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '23:50' WHEN 1 THEN '17:00' WHEN 5 THEN '09:05' END AS deadline_time,
-           strftime(o_orderdate, '%Y.%m.%d') > strftime(DATE '1997-01-01' + 730, '%Y.%m.%d') AS too_far
+           CASE WHEN CAST(o_orderdate AS DATE) <= DATE '1997-01-01' + 730 THEN strftime(o_orderdate, '%Y-%m-%d') END AS believed,
+           CASE WHEN CAST(o_orderdate AS DATE) > DATE '1997-01-01' + 730 THEN strftime(o_orderdate, '%Y-%m-%d') END AS distrusted
     FROM orders
     """
 )
@@ -87,10 +88,9 @@ def deadline_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.get(F.array(*[F.lit(s) for s in SENTENCES]), (F.col("o_orderkey") % len(SENTENCES)).cast("int"))
     for mark, value in (("{0}", F.date_format(day, "yyyy.MM.dd")), ("{1}", blanks), ("{2}", F.date_format(F.date_add(day, 5), "yyyy.MM.dd"))):
         text = F.replace(text, F.lit(mark), value)
+    kept = dates.believed(F.date_format(day, "yyyy-MM-dd"), F.lit("1997-01-01").cast("date"))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        dates.deadline_time(text, day).alias("deadline_time"),
-        dates.too_far(F.date_format(day, "yyyy-MM-dd"), F.lit("1997-01-01").cast("date")).alias("too_far"),
+        "o_orderkey", dates.deadline_time(text, day).alias("deadline_time"), kept["day"].alias("believed"), kept["distrusted"].alias("distrusted")
     )
 
 

@@ -265,3 +265,47 @@ def conditions_and_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.array_join(must, "|").alias("must"), F.array_join(may, "|").alias("may"), licence.alias("licence"), labels.complete_or_empty(fields).alias("complete")
     )
+
+
+SPELT = (
+    ("물리(작업)치료사 모집", "물리치료사 작업치료사 모집"),
+    ("작업·물리 치료사", "작업치료사 물리치료사"),
+    ("물 리 치료사, 작 업 치 료 사", "물리치료사, 작업치료 사"),
+    ("치료사(물리, 작업)", "물리치료사 작업치료사"),
+    ("기간제(물리작업치료사)", "기간제(치료사)"),
+    ("물리 및 작업치료직", "물리치료직 작업치료직"),
+    (None, ""),
+)
+#: By hand, name, declared, title, attachment; the type and its evidence.
+EMPLOYED = (
+    ("정규직", "기간제 물리치료사", ("계약직",), None, None, "정규직", "by hand"),
+    (None, "물리치료사(기간제)", ("계약직",), None, None, "기간제", "name"),
+    (None, "물리치료사", ("계약직", "계약직"), None, None, "계약직", "declared"),
+    (" ", "물리치료사", ("무기계약직", "기간제"), "공무직(방사선사) 및 기간제근로자(물리치료사) 채용", None, "기간제", "title"),
+    (None, "물리치료사", ("정규직", "기간제"), "공무직(방사선사) 및 기간제근로자(물리치료사) 채용", "기간제근로자", "기간제", "attachment"),
+    (None, None, (), None, "정규직 또는 계약직", None, None),
+)
+PLACED = (("경기광주병원", "서울", "경기광주"), ("물리치료", " 대구 ", "대구"), ("물리치료", "대구, 부산", None), (None, None, None), ("경 기 물리", None, "경기"))
+
+
+@query(
+    f"""
+    SELECT p_partkey, {chosen_sql([s[1] for s in SPELT], 'p_partkey')} AS spelt, {chosen_sql([e[5] for e in EMPLOYED], 'p_partkey')} AS employment,
+           {chosen_sql([e[6] for e in EMPLOYED], 'p_partkey')} AS source, {chosen_sql([p[2] for p in PLACED], 'p_partkey')} AS region
+    FROM part
+    """
+)
+def spelt_and_employed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Professions spelt out, types of employment by five kinds of evidence, regions by name or place."""
+    k = F.col("p_partkey")
+    hand, name, _, title, attachment = (chosen([e[i] if i != 2 else None for e in EMPLOYED], k).cast("string") for i in range(5))
+    declared = F.split(chosen([",".join(e[2]) for e in EMPLOYED], k), ",")
+    declared = F.filter(declared, lambda x: x != "")
+    found = triage.employment_type(hand, name, declared, title, attachment)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        triage.spelt_out(chosen([s[0] for s in SPELT], k)).alias("spelt"),
+        found["employment"].alias("employment"),
+        found["source"].alias("source"),
+        triage.region_of(chosen([p[0] for p in PLACED], k), chosen([p[1] for p in PLACED], k), ("경기", "광주", "경기광주", "서울")).alias("region"),
+    )
