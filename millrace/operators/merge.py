@@ -141,6 +141,12 @@ def reload(df: DataFrame, path: str) -> tuple[int, int]:
     return written, read
 
 
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """The rows of a run added to the table at ``path``, under the run's name: a run that is repeated
+    replaces its own rows, so nothing is added twice. A run without rows leaves its (empty) mark."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def overlay(base: DataFrame, edits: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``base`` with ``edits`` (key, field, value, seq) laid over its text ``fields``: the latest
     edit of a field counts, a blank one is none, an equal one changes nothing. Adds

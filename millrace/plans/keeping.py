@@ -295,3 +295,12 @@ def explained_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("price rounded", (F.col("old_s") == F.col("new_s")) & (F.abs(F.col("old_p") - F.col("new_p")) < 0.5)),
     ]
     return merge.reconciled(old, new, "k", ["s", "p"], explain).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS run, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM customer GROUP BY 1")
+def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended by run; a run that is repeated is there once."""
+    customer, path = table(spark, sf_dir, "customer").select("c_custkey"), f"{folder(spark, 'runs')}/{uuid.uuid4().hex}"
+    for name, where in (("even", "c_custkey % 2 = 0"), ("odd", "c_custkey % 2 = 1"), ("even", "c_custkey % 2 = 0")):
+        merge.append_run(customer.filter(where), path, name)
+    return spark.read.parquet(path).groupBy("run").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"))

@@ -94,3 +94,30 @@ def masked_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     seen = [observing.seen_by(customer, role, "c_custkey", names=["c_name"], secrets=["c_acctbal"]).withColumn("role", F.lit(role)) for role in ("member", "guest", "preview")]
     return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+FILL = "본문 " * 80
+#: Status, source, text, address that was reached; state and reason. The title is "[모집] 물리치료사 채용".
+LIVE = (
+    (200, "", "물리치료사 채용 " + FILL, "http://a/1", "alive", "title"),
+    (200, "", FILL, "http://a/1", "alive", "opens"),
+    (200, "", FILL, "http://a/list", "gone", "elsewhere"),
+    (404, "", "", "http://a/1", "gone", "status"),
+    (503, "", "", "http://a/1", "unknown", "status"),
+    (None, "", "", "http://a/1", "unknown", "no answer"),
+    (200, "", "삭제된 게시물입니다", "http://a/1", "gone", "text"),
+    (200, "<script>alert('접수 마감되었습니다')</script>", "x", "http://a/1", "closed", "alert"),
+    (200, "", "짧은 글", "http://a/1", "unknown", "little text"),
+    (200, "", "[마감] 물리치료사 채용 " + FILL, "http://a/1", "closed", "title"),
+    (200, "", "접수기간 : <마감> " + FILL, "http://a/1", "closed", "period"),
+    (200, "", "(마감) 간호사 채용 물리치료사 채용 " + FILL, "http://a/1", "alive", "title"),
+)
+
+
+@query(f"SELECT event_id, {chosen_sql([x[4] for x in LIVE], 'event_id')} AS state, {chosen_sql([x[5] for x in LIVE], 'event_id')} AS why FROM events")
+def liveness_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pages of postings are alive, gone, closed or unknown, by tests in their order."""
+    k = F.col("event_id")
+    status, html, body, landed = (chosen([x[i] for x in LIVE], k) for i in range(4))
+    found = observing.liveness(status, html, body, F.lit("[모집] 물리치료사 채용"), landed, F.lit("http://a/1"))
+    return table(spark, sf_dir, "events").select("event_id", found.alias("l")).select("event_id", "l.*")
