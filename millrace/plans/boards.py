@@ -93,7 +93,7 @@ ROBOTS = ("User-agent: *\nCrawl-delay: 5\nDisallow: /a", "User-agent: x\nCrawl-d
 
 @query(
     """
-    SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 5.0 WHEN 2 THEN 0.5 END AS delay, n_nationkey % 3 = 0 AS pages FROM nation
+    SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 5.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE END AS delay, n_nationkey % 3 = 0 AS pages FROM nation
     """
 )
 def paging_and_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
