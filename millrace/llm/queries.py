@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
+from millrace.llm import bytebpe, decontamination, html, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -99,6 +99,22 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The ranks of the byte-level vocabulary where ``spark.millrace.bytebpe.ranks`` names no others.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranks = bytebpe.load_ranks(spark.conf.get("spark.millrace.bytebpe.ranks", RANKS))
+    tokens = bytebpe.encode(docs, ranks, carry=["doc_id"])
+    return bytebpe.decode(tokens, ranks).select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_main_text": op2_main_text,
@@ -110,9 +126,10 @@ QUERIES = {
     "op8_url_templates": op8_url_templates,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
-#: Shards, votes, learnt templates, disclosing terms, wrappers and sampled pieces have no SQL form.
+#: Shards, votes, learnt templates, disclosing terms, wrappers and tokens have no SQL form.
 ORACLES: dict[str, str] = {
     "op3_benchmark_phrases": oracles.OP3,
     "op4_near_duplicates": oracles.OP4,
