@@ -61,3 +61,42 @@ SELECT page_id, strlen(h) AS payload_bytes,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (x)
 """
+
+
+def _told(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_told, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS bad FROM documents),
+o AS (SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, * FROM d),
+up(lang, l, i, n, h) AS (SELECT lang, 0, i, n, leaf FROM o UNION ALL
+  SELECT lang, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, l, i // 2, n),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(l, i, n, h) AS (SELECT 0, i, n, subroot FROM sub UNION ALL
+  SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l, i // 2, n),
+rt AS (SELECT h AS root FROM top WHERE n = 1),
+lev AS (SELECT o.doc_id, o.leaf, o.lang, o.i, a.l, (o.i >> a.l::BIGINT) & 1 AS side, b.h
+        FROM o JOIN (SELECT DISTINCT lang, l, n FROM up WHERE n > 1) a ON a.lang IS NOT DISTINCT FROM o.lang
+        LEFT JOIN up b ON b.lang IS NOT DISTINCT FROM o.lang AND b.l = a.l AND b.i = xor(o.i >> a.l::BIGINT, 1)
+        UNION ALL
+        SELECT o.doc_id, o.leaf, o.lang, o.i, 100 + a.l, (s.i >> a.l::BIGINT) & 1, b.h
+        FROM o JOIN sub s ON s.lang IS NOT DISTINCT FROM o.lang CROSS JOIN (SELECT DISTINCT l FROM top WHERE n > 1) a
+        LEFT JOIN top b ON b.l = a.l AND b.i = xor(s.i >> a.l::BIGINT, 1)),
+way AS (SELECT lang, i, list(CASE WHEN h IS NULL THEN '' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY l) AS steps,
+               string_agg(h, '' ORDER BY l) AS told FROM lev GROUP BY lang, i),
+f AS (SELECT o.doc_id, o.leaf, s.subroot, root, sha256(coalesce(w.told, '')) AS proof_sha256,
+             list_reduce(list_prepend(coalesce(o.bad, o.leaf), coalesce(w.steps, [])),
+                         lambda x, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || x WHEN s[1] = 'R' THEN x || s[2:] ELSE x END)) AS folded_root
+      FROM o JOIN sub s ON s.lang IS NOT DISTINCT FROM o.lang CROSS JOIN rt
+      LEFT JOIN way w ON w.lang IS NOT DISTINCT FROM o.lang AND w.i = o.i)
+SELECT *, folded_root = root AS verified FROM f
+"""

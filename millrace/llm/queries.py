@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, decontamination, html, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
+from millrace.llm import bytebpe, decontamination, html, manifest, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -99,6 +99,30 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The fields of a leaf, in their order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: Where this divides the checksum of an id, the verification is given a row that was tampered with.
+TAMPER = 7
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    tampered = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF_FIELDS]
+    chosen = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % TAMPER == 0
+    docs = docs.withColumn("tampered", F.when(chosen, manifest.leaf_of(tampered)))
+    found = manifest.proved(docs, LEAF_FIELDS, carry=["doc_id", "tampered"])
+    found = found.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(manifest.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 #: The ranks of the byte-level vocabulary where ``spark.millrace.bytebpe.ranks`` names no others.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -126,6 +150,7 @@ QUERIES = {
     "op8_url_templates": op8_url_templates,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_sampled_pieces": op10_sampled_pieces,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -135,4 +160,5 @@ ORACLES: dict[str, str] = {
     "op4_near_duplicates": oracles.OP4,
     "op6_repeated_passages": oracles.OP6,
     "op9_warc_round_trip": oracles.OP9,
+    "op11_merkle_manifest": oracles.OP11,
 }
