@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, decontamination, html, manifest, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
+from millrace.llm import alignment, bytebpe, decontamination, html, manifest, neardup, oracles, passages, pieces, pii, quality, sharding, urls, warc
 from millrace.llm.shared import table
 
 
@@ -123,6 +123,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The two tokenizers whose tokens are aligned where ``spark.millrace.alignment.a`` and ``.b`` name no others.
+ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", MODEL)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = tuple(spark.conf.get(f"spark.millrace.alignment.{k}", p) for k, p in zip("ab", ALIGNED, strict=True))
+    return alignment.scored(docs, paths, carry=["doc_id"])
+
+
 #: The ranks of the byte-level vocabulary where ``spark.millrace.bytebpe.ranks`` names no others.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -151,6 +161,7 @@ QUERIES = {
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_sampled_pieces": op10_sampled_pieces,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
