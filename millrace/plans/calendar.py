@@ -123,30 +123,54 @@ def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", dates.retry_after(k % 5 + 1, header, F.col("ts")).alias("wait"))
 
 
-#: Notices with the period that a reader finds in them, first and last day.
+#: Sentences of notices about a day (d), the day two weeks later (e) and days around them: with points (p),
+#: blanks (b), words (w) or short years (s); (m) is the later day without its year.
 NOTICES = (
-    ("접수기간 : 2026.09.02(수) ~ 2026.09.16(수)", "2026.09.02", "2026.09.16"),
-    ("원서접수 기간 2026. 9. 2.(수) ~ 9. 16.(수) 18:00까지", "2026.09.02", "2026.09.16"),
-    ("원서접수 | 합격자 발표일 2026. 10. 19.(월) ~ 10. 23.(금) [5일간] | 2026. 11. 3.(화)", "2026.10.19", "2026.10.23"),
-    ("접수기간 : 2026. 10. 01( 목 )~ 채용시까지", "2026.10.01", ""),
-    ("마감일 2026년 12월 3일까지", "", "2026.12.03"),
-    ("접수기간 ’26. 10. 2.(금) ~ ’26. 10. 8.(목)", "2026.10.02", "2026.10.08"),
-    ("공고기간 2026.09.01 ~ 2026.09.25 접수기간 2026.09.01 ~ 2026.09.16", "2026.09.01", "2026.09.16"),
-    ("접수기간 2026.02.06 ~ 2099.12.31", "2026.02.06", ""),
-    ("안내 2026.03.01 일정 없음", "", ""),
+    "접수기간 : {dp}(수) ~ {ep}(수)",
+    "원서접수 기간 {db} ~ {em} 18:00까지",
+    "마감일 {dw}까지",
+    "접수기간 ’{ds} ~ ’{es}",
+    "접수기간 : {dp} ~ 채용시까지",
+    "공고기간 {bp} ~ {ap} 접수기간 {dp} ~ {ep}",
+    "안내 {dp} 일정 없음",
+    "지원서 접수 {dp}(화) ~ {ep}(화)",
+    "근무기간 : {dp} ~ {ep}",
+    "제출 기간 {dp} 부터 {ep}",
+    "전형 일정 ’{ds} ~ ’{es} 18시",
+    "접수 {dp}(금) ~ 모집인원 충원 시까지",
+    "마감일시 {dp} 18:00 이후 수시 채용",
+    "지원기간 {dp} ~ {ep} | 접수마감 {ep} | 발표 {ap}",
+    "응시원서 접수 {dp}까지, 발표 {ap}",
 )
+_WHOLE, _END_ALONE, _SHORT, _SAME_YEAR = "(0, 5, 7, 9, 13)", "(2, 14)", "(3, 10)", "(1)"
 
 
 @query(
-    "SELECT p_partkey, CASE p_partkey % 9 "
-    + " ".join(f"WHEN {i} THEN '{a}'" for i, (_, a, _) in enumerate(NOTICES))
-    + " END AS first_day, CASE p_partkey % 9 "
-    + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, _, b) in enumerate(NOTICES))
-    + " END AS last_day FROM part"
+    f"""
+    WITH n AS (SELECT o_orderkey, o_orderkey % {len(NOTICES)} AS k, CAST(o_orderdate AS DATE) + to_years(30) AS t FROM orders),
+    p AS (SELECT o_orderkey, k, CAST(t AS DATE) AS d, CAST(t + INTERVAL 14 DAY AS DATE) AS e FROM n),
+    f AS (SELECT o_orderkey,
+            CASE WHEN k IN {_WHOLE} OR k IN {_SAME_YEAR} OR k IN {_SHORT} AND year(d) >= 2024 THEN strftime(d, '%Y.%m.%d') ELSE '' END AS a,
+            CASE WHEN k IN {_WHOLE} OR k IN {_SHORT} AND year(d) >= 2024 THEN strftime(e, '%Y.%m.%d')
+                 WHEN k IN {_SAME_YEAR} THEN strftime(d, '%Y.') || strftime(e, '%m.%d')
+                 WHEN k IN {_END_ALONE} THEN strftime(d, '%Y.%m.%d') ELSE '' END AS z FROM p)
+    SELECT o_orderkey, CASE WHEN z <= '2027.12.31' THEN a ELSE '' END AS first_day, CASE WHEN z <= '2027.12.31' THEN z ELSE '' END AS last_day FROM f
+    """
 )
 def notice_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The application period that a notice's text states."""
-    text = F.get(F.array(*[F.lit(t) for t, _, _ in NOTICES]), (F.col("p_partkey") % len(NOTICES)).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    found = deadlines.periods("2026-11-01")(F.col("text"))
-    return rows.select("p_partkey", found["first_day"].alias("first_day"), found["last_day"].alias("last_day"))
+    day = F.add_months(F.col("o_orderdate").cast("date"), 360)
+    later = F.date_add(day, 14)
+    forms = {"p": "yyyy.MM.dd", "b": "yyyy. M. d.", "w": "yyyy년 M월 d일", "s": "yy. M. d."}
+    words = {a + k: F.date_format(d, form) for a, d in (("d", day), ("e", later), ("b", F.date_add(day, -7)), ("a", F.date_add(day, 20))) for k, form in forms.items()}
+    words["em"] = F.date_format(later, "M. d.")
+    texts = []
+    for notice in NOTICES:
+        text = F.lit(notice)
+        for mark, value in words.items():
+            if "{" + mark + "}" in notice:
+                text = F.replace(text, F.lit("{" + mark + "}"), value)
+        texts.append(text)
+    text = F.get(F.array(*texts), (F.col("o_orderkey") % len(NOTICES)).cast("int"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", deadlines.period(text, "2026-01-01").alias("found"))
+    return found.select("o_orderkey", "found.first_day", "found.last_day")
