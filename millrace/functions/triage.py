@@ -1,16 +1,18 @@
 """Which postings are for members: ordered rules over titles, jobs and attachments.
 
 Every rule looks at a title without white space, unless it says otherwise. The order is the
-specification; all conditions are column expressions in one projection.
+specification. The words of all lists are found by one automaton; the rules are column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.dictionary import Dictionary
 from millrace.functions.text import listed_in_brackets, squeeze
 
 # The word lists of the domain.
@@ -56,6 +58,23 @@ def without(text: Column, words: Sequence[str]) -> Column:
 VERDICT = "struct<bucket:string,stage:int,reason:string,hits:array<string>,memo:string,retry:boolean>"
 
 
+@dataclass(frozen=True)
+class Lists:
+    """What a triage goes by: the words of each list and the patterns of titles."""
+
+    confirmed: tuple[str, ...] = CONFIRMED
+    look_alikes: tuple[str, ...] = LOOK_ALIKES
+    possible: tuple[str, ...] = POSSIBLE
+    others: tuple[str, ...] = OTHERS
+    kept_hidden: tuple[str, ...] = KEPT_HIDDEN
+    ended: str = ENDED
+    generic: str = GENERIC
+
+    def dictionary(self) -> Dictionary:
+        names = ("confirmed", "look_alikes", "possible", "others", "kept_hidden")
+        return Dictionary(tuple((n, getattr(self, n)) for n in names))
+
+
 def _verdict(bucket: str, stage: int, reason: Column, found: Column | None = None, memo: Column | None = None, retry: bool = False) -> Column:
     none = F.array().cast("array<string>")
     return F.struct(
@@ -68,53 +87,90 @@ def _verdict(bucket: str, stage: int, reason: Column, found: Column | None = Non
     ).cast(VERDICT)
 
 
-def attachment_verdict(title: Column, read: Column, text: Column, why: Column) -> Column:
-    """What an attachment decides: null without one (``read`` is null). Unread, the posting is held and
-    read again; with the members' professions it is theirs; else it goes, with the professions that
-    it names (six at most)."""
-    body = F.coalesce(text, F.lit(""))
-    ours, theirs = hits(squeeze(body), CONFIRMED), F.slice(hits(body, OTHERS), 1, 6)
-    possible = hits(squeeze(title), POSSIBLE)
-    named = F.concat(
-        F.lit("title: "), F.when(F.size(possible) > 0, F.array_join(possible, "·")).otherwise("-"), F.lit(" -> attachment: "), F.array_join(theirs, "·")
-    )
+def _listed(words: Column) -> Column:
+    return F.array_join(words, "·")
+
+
+def _of_attachment() -> Column:
+    """What an attachment decides. Unread, the posting is held and read again; with the members'
+    professions it is theirs; else it goes, with the professions that it names (six at most)."""
+    some, theirs = F.size("possible_title") > 0, F.slice("body_others", 1, 6)
+    named = F.concat(F.lit("title: "), F.when(some, _listed(F.col("possible_title"))).otherwise("-"), F.lit(" -> attachment: "), _listed(theirs))
     reason = F.when(F.size(theirs) > 0, named).otherwise("attachment read, no profession")
-    memo = F.when(F.size(possible) > 0, F.array_join(possible, "·")).otherwise("")
-    unread = _verdict("hold", 5, F.concat(F.lit("attachment not read: "), F.coalesce(why, F.lit("unknown"))), retry=True)
+    unread = F.concat(F.lit("attachment not read: "), F.coalesce("why", F.lit("unknown")))
     return (
-        F.when(read.isNull(), F.lit(None).cast(VERDICT))
-        .when(~read, unread)
-        .when(F.size(ours) > 0, _verdict("member", 5, F.lit("attachment names the profession"), ours))
-        .otherwise(_verdict("trash", 5, reason, theirs, memo))
+        F.when(~F.col("read"), _verdict("hold", 5, unread, retry=True))
+        .when(F.size("body_ours") > 0, _verdict("member", 5, F.lit("attachment names the profession"), F.col("body_ours")))
+        .otherwise(_verdict("trash", 5, reason, theirs, F.when(some, _listed(F.col("possible_title"))).otherwise("")))
     )
 
 
-def triage(title: Column, job: Column, attachment: Column) -> Column:
-    """A verdict for a posting: bucket, stage, reason, the words that decided, what was left aside, and
-    whether it is to be read again. ``attachment``: what ``attachment_verdict`` says, or null."""
-    title = F.coalesce(title, F.lit(""))
-    whole = squeeze(title)
-    bare = without(whole, LOOK_ALIKES)
-    alike = hits(whole, LOOK_ALIKES)
-    memo = F.when(F.size(alike) > 0, F.concat(F.lit("without "), F.array_join(alike, "·"))).otherwise("")
-    one = lambda x: F.array(x)
-    ended = F.regexp_extract(title, f"({ENDED})", 1)
-    listed = listed_in_brackets(title)
-    confirmed, possible, kept, others = (hits(x, w) for x, w in ((bare, CONFIRMED), (bare, POSSIBLE), (bare, KEPT_HIDDEN), (whole, OTHERS)))
-    generic = F.regexp_extract(title, f"({GENERIC})", 1)
-    nothing = F.concat(F.lit("no word of ours"), F.when(F.size(others) > 0, F.concat(F.lit(" (title: "), others[0], F.lit(")"))).otherwise(""))
+def _ladder() -> Column:
+    """The rules in their order over the columns that ``triaged`` has worked out."""
+    memo = F.when(F.size("alike") > 0, F.concat(F.lit("without "), _listed(F.col("alike")))).otherwise("")
+    nothing = F.concat(F.lit("no word of ours"), F.when(F.size("others") > 0, F.concat(F.lit(" (title: "), F.get("others", F.lit(0)), F.lit(")"))).otherwise(""))
+    some = lambda name: F.size(name) > 0
     return (
-        F.when(ended != "", _verdict("trash", 4, F.lit("title says that it is over"), one(ended)))
-        .when(F.trim(F.coalesce(job, F.lit(""))) != "", _verdict("member", 1, F.lit("job is known")))
-        .when(attachment.isNotNull(), attachment)
-        .when(F.size(confirmed) > 0, _verdict("member", 1, F.lit("title names the profession"), confirmed, memo))
-        .when(listed.isNotNull(), _verdict("hold", 2, F.lit("several in brackets"), one(F.trim(listed)), memo))
-        .when(F.size(possible) > 0, _verdict("hold", 2, F.lit("word that may be ours"), possible, memo))
-        .when(F.trim(title).rlike(CUT_OFF), _verdict("hold", 2, F.lit("title is cut off"), None, memo, True))
-        .when((generic != "") & (F.size(others) == 0), _verdict("hold", 2, F.lit("title without a profession"), one(generic), memo, True))
-        .when(F.size(kept) > 0, _verdict("hidden", 4, F.lit("kept without being shown"), kept, memo))
-        .otherwise(_verdict("trash", 4, nothing, F.slice(others, 1, 1), memo))
+        F.when(F.col("ended") != "", _verdict("trash", 4, F.lit("title says that it is over"), F.array("ended")))
+        .when(F.col("known_job"), _verdict("member", 1, F.lit("job is known")))
+        .when(F.col("read").isNotNull(), _of_attachment())
+        .when(some("confirmed"), _verdict("member", 1, F.lit("title names the profession"), F.col("confirmed"), memo))
+        .when(F.col("in_brackets").isNotNull(), _verdict("hold", 2, F.lit("several in brackets"), F.array(F.trim("in_brackets")), memo))
+        .when(some("possible"), _verdict("hold", 2, F.lit("word that may be ours"), F.col("possible"), memo))
+        .when(F.col("cut_off"), _verdict("hold", 2, F.lit("title is cut off"), None, memo, True))
+        .when((F.col("generic") != "") & ~some("others"), _verdict("hold", 2, F.lit("title without a profession"), F.array("generic"), memo, True))
+        .when(some("kept_hidden"), _verdict("hidden", 4, F.lit("kept without being shown"), F.col("kept_hidden"), memo))
+        .otherwise(_verdict("trash", 4, nothing, F.slice("others", 1, 1), memo))
+    )
+
+
+def triaged(
+    df: DataFrame,
+    title: Column,
+    job: Column,
+    read: Column | None = None,
+    text: Column | None = None,
+    why: Column | None = None,
+    lists: Lists = Lists(),
+) -> DataFrame:
+    """``df`` with ``triage``, a verdict for each posting: bucket, stage, reason, the words that decided, what
+    was left aside, and whether it is to be read again.
+
+    ``job``: the job where it is known; ``read``: null without an attachment, else whether it was read,
+    with its ``text`` or ``why`` not. Each title and text goes through one automaton of all lists once; a title
+    that has look-alikes goes through it again without them. All rules are evaluated once for a row.
+    A null title has no words; an input column named triage is replaced."""
+    words = lists.dictionary()
+    none = F.lit(None).cast("string")
+    read = F.lit(None).cast("boolean") if read is None else read
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "triage"]).alias("row"),
+        F.coalesce(title, F.lit("")).alias("title"),
+        (F.trim(F.coalesce(job, F.lit(""))) != "").alias("known_job"),
+        read.alias("read"),
+        F.when(read, F.coalesce(none if text is None else text, F.lit(""))).alias("text"),
+        (none if why is None else why).alias("why"),
     )
+    rows = rows.withColumns({"in_title": words.find(F.col("title")), "in_text": words.find(F.col("text"))}).drop("text")
+    rows = rows.withColumn("alike", words.hits(F.col("in_title"), "look_alikes"))
+    bare = F.when(F.size("alike") > 0, without(squeeze(F.col("title")), lists.look_alikes))
+    rows = rows.withColumn("in_bare", words.find(bare))
+    rows = rows.withColumn("in_bare", F.coalesce("in_bare", "in_title"))
+    rows = rows.select(
+        "row", "read", "why", "known_job", "alike",
+        *[words.hits(F.col("in_bare"), n).alias(n) for n in ("confirmed", "possible", "kept_hidden")],
+        words.hits(F.col("in_title"), "others").alias("others"),
+        words.hits(F.col("in_title"), "possible").alias("possible_title"),
+        words.hits(F.col("in_text"), "confirmed").alias("body_ours"),
+        words.hits(F.col("in_text"), "others", together=True).alias("body_others"),
+        F.regexp_extract("title", f"({lists.ended})", 1).alias("ended"),
+        F.regexp_extract("title", f"({lists.generic})", 1).alias("generic"),
+        F.trim("title").rlike(CUT_OFF).alias("cut_off"),
+        listed_in_brackets(F.col("title")).alias("in_brackets"),
+    )
+    # bound once, so that taking its fields doesn't repeat the ladder
+    verdict = F.get(F.transform(F.array(_ladder()), lambda v: v), F.lit(0))
+    return rows.select("row.*", verdict.alias("triage"))
 
 
 def job_group(step_name: Column) -> Column:

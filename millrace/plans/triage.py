@@ -9,59 +9,65 @@ from millrace.functions import labels, triage
 from millrace.plans.registry import query, table
 from millrace.plans.wording import chosen, chosen_sql
 
-#: Titles with the bucket, the reason and the words that decide where neither job nor attachment is known.
-TITLES = (
-    ("물리치료사 채용 공고", "member", "title names the profession", "물리치료"),
-    ("물리 치료사, 언어치료사 모집", "member", "title names the profession", "물리치료"),
-    ("언어치료사 모집", "trash", "no word of ours", ""),
-    ("병원 직원 채용 (간호사, 조리사, 행정)", "hold", "several in brackets", "간호사, 조리사, 행정"),
-    ("의료기사 채용", "hold", "word that may be ours", "의료기사"),
-    ("요양원 상담 인력 모집", "hold", "word that may be ours", "요양원,상담"),
-    ("전남권 어린이병원(목포중앙병원) ...", "hold", "title is cut off", ""),
-    ("2026년 하반기 신규 직원 채용", "hold", "title without a profession", "신규 직원"),
-    ("방사선사 채용", "hidden", "kept without being shown", "방사선사"),
-    ("원무과 직원 채용 간호사", "trash", "no word of ours (title: 간호사)", "간호사"),
-    ("시설 청소원 모집", "trash", "no word of ours", ""),
-    ("물리치료사 채용 공고 [마감]", "trash", "title says that it is over", "[마감"),
-    ("통합채용 필기시험 장소 변경 공고", "trash", "title says that it is over", "필기시험"),
-    ("방사선치료사 채용", "trash", "no word of ours", ""),
-    (None, "trash", "no word of ours", ""),
+#: A triage of documents by what their first line and their text hold.
+OF_DOCUMENTS = triage.Lists(
+    confirmed=("andthe", "mentoi", "theand"),
+    look_alikes=("ofthe", "queeau", "enen"),
+    possible=("inthe", "heth", "ement", "enter"),
+    others=("ieren", "schen", "with", "oiai", "tionin"),
+    kept_hidden=("that", "von"),
+    ended=r"was\s+the|ist\s+die",
+    generic=r"\bis\s+[a-z]+|\bder\b",
 )
-ATTACHED = (
-    (None, None, None),
-    (False, None, "429"),
-    (True, "채용 분야 작업 치료사 1명", None),
-    (True, "간호사 2명, 방사선사 1명", None),
-    (True, "청소", None),
-    (None, None, None),
-    (None, None, None),
-)
-N_T, N_A = len(TITLES), len(ATTACHED)
-OVER = " OR ".join(f"k % {N_T} = {i}" for i, t in enumerate(TITLES) if t[2] == "title says that it is over")
+
+
+def _held(text: str, words: tuple[str, ...]) -> str:
+    return f"list_filter({list(words)}, lambda w: contains({text}, w))"
+
+
+def _bare(text: str, words: tuple[str, ...]) -> str:
+    for w in words:
+        text = f"replace({text}, '{w}', '')"
+    return text
+
+
+_BLANK = "[ \\t\\n\\v\\f\\r\\x{a0}\\x{3000}\\x{feff}]+"
 
 
 @query(
-    f"""
-    WITH p AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS job, CASE WHEN {OVER.replace('k %', 'o_orderkey %')} THEN 0 WHEN o_orderkey % 11 = 0 THEN 1 ELSE 2 END AS way, o_orderkey % {N_A} AS a FROM orders)
-    SELECT k AS o_orderkey,
-      CASE WHEN way = 0 THEN 'trash' WHEN way = 1 THEN 'member' WHEN a = 1 THEN 'hold' WHEN a = 2 THEN 'member' WHEN a IN (3, 4) THEN 'trash' ELSE {chosen_sql([t[1] for t in TITLES], 'k')} END AS bucket,
-      CASE WHEN way = 0 THEN 'title says that it is over' WHEN way = 1 THEN 'job is known' WHEN a = 1 THEN 'attachment not read: 429' WHEN a = 2 THEN 'attachment names the profession'
-           WHEN a = 4 THEN 'attachment read, no profession' WHEN a = 3 THEN 'attachment' ELSE {chosen_sql([t[2] for t in TITLES], 'k')} END AS reason,
-      CASE WHEN way = 0 THEN {chosen_sql([t[3] for t in TITLES], 'k')} WHEN way = 1 OR a IN (1, 4) THEN '' WHEN a = 2 THEN '작업치료' WHEN a = 3 THEN '간호사,방사선사' ELSE {chosen_sql([t[3] for t in TITLES], 'k')} END AS hits,
-      way = 2 AND (a = 1 OR a NOT IN (1, 2, 3, 4) AND k % {N_T} IN (6, 7)) AS retry
-    FROM p
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(text, '') AS body, doc_id % 11 = 0 AS job, CAST(doc_id % 4 AS INTEGER) AS a FROM documents),
+    s AS (SELECT *, regexp_replace(title, '{_BLANK}', '', 'g') AS z, regexp_replace(body, '{_BLANK}', '', 'g') AS zbody FROM d),
+    b AS (SELECT *, {_bare('z', OF_DOCUMENTS.look_alikes)} AS bare FROM s),
+    h AS (SELECT *, {_held('z', OF_DOCUMENTS.look_alikes)} AS alike, {_held('bare', OF_DOCUMENTS.confirmed)} AS confirmed, {_held('bare', OF_DOCUMENTS.possible)} AS possible,
+             {_held('bare', OF_DOCUMENTS.kept_hidden)} AS kept, {_held('z', OF_DOCUMENTS.others)} AS others, {_held('z', OF_DOCUMENTS.possible)} AS named,
+             {_held('zbody', OF_DOCUMENTS.confirmed)} AS ours, {_held('body', OF_DOCUMENTS.others)} AS theirs,
+             regexp_extract(title, '({OF_DOCUMENTS.ended})', 1) AS ended, regexp_extract(title, '({OF_DOCUMENTS.generic})', 1) AS generic,
+             list_filter(regexp_extract_all(title, '[(（]([^)）]*)[)）]', 1), lambda x: length(regexp_replace(x, '[^,，]', '', 'g')) >= 2)[1] AS listed FROM b),
+    w AS (SELECT *, CASE WHEN ended <> '' THEN 1 WHEN job THEN 2 WHEN a = 1 THEN 3 WHEN a > 1 AND len(ours) > 0 THEN 4 WHEN a > 1 THEN 5 WHEN len(confirmed) > 0 THEN 6 WHEN listed IS NOT NULL THEN 7
+             WHEN len(possible) > 0 THEN 8 WHEN regexp_matches(trim(title), '(…|\.\.\.)\s*$') THEN 9 WHEN generic <> '' AND len(others) = 0 THEN 10 WHEN len(kept) > 0 THEN 11 ELSE 12 END AS way FROM h)
+    SELECT doc_id, CASE WHEN way IN (1, 5, 12) THEN 'trash' WHEN way IN (2, 4, 6) THEN 'member' WHEN way = 11 THEN 'hidden' ELSE 'hold' END AS bucket,
+           CASE way WHEN 1 THEN 'title says that it is over' WHEN 2 THEN 'job is known' WHEN 3 THEN 'attachment not read: ' || lang WHEN 4 THEN 'attachment names the profession'
+             WHEN 5 THEN CASE WHEN len(theirs) > 0 THEN 'title: ' || CASE WHEN len(named) > 0 THEN array_to_string(named, '·') ELSE '-' END || ' -> attachment: ' || array_to_string(theirs, '·') ELSE 'attachment read, no profession' END
+             WHEN 6 THEN 'title names the profession' WHEN 7 THEN 'several in brackets' WHEN 8 THEN 'word that may be ours' WHEN 9 THEN 'title is cut off' WHEN 10 THEN 'title without a profession'
+             WHEN 11 THEN 'kept without being shown' ELSE 'no word of ours' || CASE WHEN len(others) > 0 THEN ' (title: ' || others[1] || ')' ELSE '' END END AS reason,
+           array_to_string(CASE way WHEN 1 THEN [ended] WHEN 4 THEN ours WHEN 5 THEN theirs WHEN 6 THEN confirmed WHEN 7 THEN [trim(listed)] WHEN 8 THEN possible WHEN 10 THEN [generic] WHEN 11 THEN kept
+             WHEN 12 THEN CASE WHEN len(others) > 0 THEN [others[1]] ELSE [] END ELSE [] END, ',') AS hits,
+           CASE WHEN way = 5 THEN array_to_string(named, '·') WHEN way IN (6, 7, 8, 9, 10, 11, 12) AND len(alike) > 0 THEN 'without ' || array_to_string(alike, '·') ELSE '' END AS memo, way IN (3, 9, 10) AS retry
+    FROM w JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)
     """
 )
 def posting_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled titles with and without a known job and an attachment, through the whole ladder."""
-    k = F.col("o_orderkey")
-    title = chosen([t[0] for t in TITLES], k)
-    job = F.when(k % 11 == 0, "물리치료사")
-    read, text, why = (chosen([a[i] for a in ATTACHED], k) for i in range(3))
-    attachment = triage.attachment_verdict(title, read.cast("boolean"), text, why)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", triage.triage(title, job, attachment).alias("v"))
-    reason = F.when(F.col("v.reason").startswith("title: "), "attachment").otherwise(F.col("v.reason"))
-    return rows.select("o_orderkey", "v.bucket", reason.alias("reason"), F.array_join("v.hits", ",").alias("hits"), "v.retry")
+    """Documents as postings: their first lines as titles, some with a known job, some with their whole
+    text as an attachment, read or not, through the whole ladder."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    part = F.col("doc_id") % 4
+    read = F.when(part == 1, False).when(part > 1, True)
+    job = F.when(F.col("doc_id") % 11 == 0, F.lit("known"))
+    found = triage.triaged(docs, title, job, read, F.col("text"), F.col("lang"), OF_DOCUMENTS)
+    t = F.col("triage")
+    return found.select("doc_id", t["bucket"].alias("bucket"), t["reason"].alias("reason"), F.array_join(t["hits"], ",").alias("hits"), t["memo"].alias("memo"), t["retry"].alias("retry"))
 
 
 STEPS = (
