@@ -21,7 +21,15 @@ from pyspark.sql import functions as F
 FOUND = "array<struct<word:int,begin:int,apart:boolean>>"
 #: White space as ``text.ANY_SPACE`` has it (fixed values).
 BLANKS = " \t\n\x0b\f\r\xa0\u3000\ufeff"
-_CUT = str.maketrans("", "", BLANKS)
+#: Whether a character of the first plane is one of them.
+_BLANK = np.zeros(0x10000, dtype=bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
+
+
+def squeezed(text: str) -> str:
+    for c in BLANKS:
+        text = text.replace(c, "")
+    return text
 
 
 @lru_cache(maxsize=16)
@@ -29,7 +37,7 @@ def automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
     """An automaton that knows each word's numbers (a word may be in several lists)."""
     numbers: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        numbers.setdefault(w.translate(_CUT), []).append(i)
+        numbers.setdefault(squeezed(w), []).append(i)
     out = ahocorasick.Automaton()
     for w, known in numbers.items():
         if w:
@@ -41,7 +49,7 @@ def automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
 def occurrences(text: str, words: tuple[str, ...]) -> list[tuple[int, int, bool]]:
     """(number of the word, place in the text, whether white space is within it) of all words found,
     those that overlap included, by place and number."""
-    bare = text.translate(_CUT)
+    bare = squeezed(text)
     known = automaton(words)
     if not len(known):
         return []
@@ -51,7 +59,7 @@ def occurrences(text: str, words: tuple[str, ...]) -> list[tuple[int, int, bool]
     if len(bare) == len(text):
         return sorted((i, begin, False) for begin, _, i in found)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    place = np.flatnonzero(~np.isin(points, [ord(c) for c in BLANKS]))
+    place = np.flatnonzero(~_BLANK[np.minimum(points, 0xFFFF)])
     return sorted((i, int(place[b]), bool(place[e] - place[b] != e - b)) for b, e, i in found)
 
 

@@ -6,8 +6,8 @@ the other. A pair of ids is counted once for each document that links it.
 
 A pair is one packed int64 key. Each task makes distinct keys of its documents, merges them to partial
 counts with ``np.unique``, and the counts are sorted once by key range over all tasks, where the runs of
-a key are summed; each range is kept as a shard, a file of sorted keys and one of their counts. A
-second pass over the texts looks its keys up in the shards by binary search; shards are mapped into
+a key are summed; each range is kept as a shard, a file of sorted keys and one of their counts. The
+links, written when the texts are read, are looked up in the shards by binary search; shards are mapped into
 memory, so workers of one machine share them and none holds them. There are no more keys than pairs of the two
 vocabularies, whatever the corpus.
 
@@ -26,6 +26,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from millrace.llm.shared import shared_path, unpacked, written
 #: A chunk: white space and words up to the end of a word that a space follows.
 CHUNK = re.compile(r"(?!\Z)\s*+\S*+(?:[^\S ]\s*+\S*+)*+")
 #: Bytes of text aligned at once, and tokens of chunks that a worker remembers.
-SLICE_BYTES, KEPT_TOKENS = 1 << 20, 6_000_000
+SLICE_BYTES, KEPT_TOKENS = 1 << 20, 4_000_000
 #: Pairs that are listed at once; a group of more is taken by its different ids.
 LISTED_PAIRS = 1 << 20
 #: Keys that a task gathers before it merges them, and different ones that it holds.
@@ -94,14 +96,21 @@ class Tokenizers:
             found[-2:] = [found[-2] + " "]
         return found
 
-    def encoded(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of each chunk in both; none where they don't stand for its bytes."""
-        of_a = self.a.encode_batch(chunks, add_special_tokens=False)
-        of_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, of_a, of_b, strict=True):
-            data, a = chunk.encode(), a.ids
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, b) if same else ([], [])
+    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each chunk in A and in B; none where they don't stand for its bytes."""
+        a = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        data = [c.encode() for c in chunks]
+        whole = b"".join(data)
+        if not all(_joined(ids, entries) == whole for ids, entries in ((a, self.a_bytes), (b, self.b_bytes))):
+            for k, (x, y, chunk) in enumerate(zip(a, b, data, strict=True)):
+                if not _joined([x], self.a_bytes) == chunk == _joined([y], self.b_bytes):
+                    a[k], b[k] = [], []
+        return a, b
+
+
+def _joined(ids: list[list[int]], entries: list[bytes]) -> bytes:
+    return b"".join(map(entries.__getitem__, chain.from_iterable(ids)))
 
 
 def ends_of(counts) -> np.ndarray:
@@ -154,12 +163,29 @@ def linked(a, a_ptr, b, b_ptr, of, n_b: int, width: int) -> tuple[np.ndarray, np
     return summed(np.concatenate([k for k, _ in found]), np.concatenate([t for _, t in found]))
 
 
+#: What is counted of each text, and what its links' counts add.
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+NUMBERS = (*COUNTS, "n_best", "count_sum")
+#: Numbers of chunks that may be large.
+WIDE = ("key", "times", "n_links")
+
+
+def _listed(a, a_ptr, b, b_ptr, groups) -> list[str]:
+    """The groups of each chunk as text."""
+    said = [
+        f"{a[i]}|{b[k]}" if j - i == m - k == 1 else ",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m]))
+        for i, j, k, m in zip(a_ptr, a_ptr[1:], b_ptr, b_ptr[1:])
+    ]
+    return [";".join(said[i:j]) for i, j in zip(groups, groups[1:])]
+
+
 @dataclass
 class Chunks:
     """The chunks that a worker remembers: the ids of each in A and B by groups, its different links,
-    and its groups as text. Of chunk c, groups are ``group[c]:group[c + 1]``, and so on."""
+    and, if they are to be ``told``, its groups as text. Of chunk c, groups are ``group[c]:group[c + 1]``, and so on."""
 
     tools: Tokenizers
+    told: bool
     known: dict[str, int] = field(default_factory=dict)
     listed: list[str] = field(default_factory=list)
     parts: dict[str, list[np.ndarray]] = field(default_factory=dict)
@@ -171,13 +197,10 @@ class Chunks:
     def add(self, chunks: list[str]) -> None:
         """Chunks that are not known yet, each once."""
         tools = self.tools
-        ids_a, ids_b = [], []
-        for x, y in tools.encoded(chunks):
-            ids_a.append(x)
-            ids_b.append(y)
+        ids_a, ids_b = tools.encoded(chunks)
         n_a, n_b = np.array([*map(len, ids_a)], dtype=np.int64), np.array([*map(len, ids_b)], dtype=np.int64)
-        a = np.fromiter((i for x in ids_a for i in x), dtype=np.int64)
-        b = np.fromiter((i for x in ids_b for i in x), dtype=np.int64)
+        a = np.fromiter(chain.from_iterable(ids_a), dtype=np.int64)
+        b = np.fromiter(chain.from_iterable(ids_b), dtype=np.int64)
         end_a, end_b = np.cumsum(tools.a_size[a]), np.cumsum(tools.b_size[b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         a_ptr = np.concatenate(([0], np.searchsorted(end_a, both) + 1))
@@ -194,15 +217,10 @@ class Chunks:
             "n_links": np.diff(ends_of(per_group)[groups]),
         }
         for name, x in made.items():
-            self.parts.setdefault(name, []).append(x)
-        said_a, said_b = [*map(str, a.tolist())], [*map(str, b.tolist())]
-        said = [
-            ",".join(said_a[i:j]) + "|" + ",".join(said_b[k:m])
-            for i, j, k, m in zip(a_ptr.tolist(), a_ptr[1:].tolist(), b_ptr.tolist(), b_ptr[1:].tolist())
-        ]
-        for c, (i, j) in zip(chunks, zip(groups.tolist(), groups[1:].tolist())):
-            self.known[c] = len(self.listed)
-            self.listed.append(";".join(said[i:j]))
+            self.parts.setdefault(name, []).append(x if name in WIDE else x.astype(np.int32))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        if self.told:
+            self.listed += _listed(a.tolist(), a_ptr.tolist(), b.tolist(), b_ptr.tolist(), groups.tolist())
         self.n_tokens += len(a) + len(b)
 
     def array(self, name: str) -> np.ndarray:
@@ -229,11 +247,11 @@ def chunked(texts: list[str | None], store: Chunks) -> Texts:
     if store.n_tokens > KEPT_TOKENS:
         store.forget()
     cut = [store.tools.chunks(t) if t else [] for t in texts]
-    new = dict.fromkeys(c for x in cut for c in x if c not in store.known)
+    new = set(chain.from_iterable(cut)).difference(store.known)
     if new:
         store.add([*new])
     counts = np.array([*map(len, cut)], dtype=np.int64)
-    chunk = np.fromiter((store.known[c] for x in cut for c in x), dtype=np.int64, count=int(counts.sum()))
+    chunk = np.fromiter(map(store.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
     if len(chunk):
         row = np.repeat(np.arange(len(cut)), counts)
         bad = np.bincount(row[store.array("good")[chunk] == 0], minlength=len(cut)) > 0
@@ -246,7 +264,7 @@ def links_of(texts: Texts, store: Chunks) -> tuple[np.ndarray, np.ndarray, np.nd
     if not len(texts.chunk):
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    many = len(store.listed)
+    many = len(store.known)
     seen, often = np.unique(texts.row() * many + texts.chunk, return_counts=True)
     row, chunk = seen // many, seen % many
     n_keys, width = store.array("n_keys"), store.tools.n_a * store.tools.n_b
@@ -256,9 +274,15 @@ def links_of(texts: Texts, store: Chunks) -> tuple[np.ndarray, np.ndarray, np.nd
     return keys // width, keys % width, times
 
 
-def _slices(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]):
+@lru_cache(maxsize=1)
+def _remembered(a_path: str, b_path: str, told: bool) -> Chunks:
+    """The chunks of a worker, which outlive a task."""
+    return Chunks(Tokenizers(a_path, b_path), told)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], told: bool = False):
     """(batch, its texts, store) of pieces of the batches, the text in the last column."""
-    store = Chunks(Tokenizers(*paths))
+    store = _remembered(*paths, told)
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
         for first, n in W.slices(column, SLICE_BYTES):
@@ -288,8 +312,45 @@ def _aligned(batches, paths) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), groups], names=["row", "groups"])
 
 
-def _counted(batches, paths) -> Iterator[pa.RecordBatch]:
-    """(text) to (key, n): partial counts of the texts of a task that link a key."""
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values[ends[i]:ends[i + 1]]`` for each i."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of such a column, and where each row's begin."""
+    data, at = W.text_bytes(column)
+    kind = np.dtype(kind)
+    return data.view(kind).astype(np.int64), at // kind.itemsize
+
+
+def key_kind(width: int) -> str:
+    """How packed keys are stored: in four bytes while all pairs of the vocabularies fit."""
+    return "<u4" if width <= 1 << 32 else "<i8"
+
+
+def _linked(batches, paths) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, numbers, groups_sha256, keys, times)."""
+    for part, texts, store in _slices(batches, paths, told=True):
+        n, row = part.num_rows, texts.row()
+        told = {c: np.zeros(n, dtype=np.int64) for c in COUNTS}
+        if len(texts.chunk):
+            for c in COUNTS:
+                np.add.at(told[c], row, store.array(c)[texts.chunk])
+        digest = [
+            hashlib.sha256(";".join(map(store.listed.__getitem__, texts.chunk[i:j].tolist())).encode()).hexdigest() if i < j else ""
+            for i, j in zip(texts.ptr.tolist(), texts.ptr[1:].tolist())
+        ]
+        of, key, times = links_of(texts, store)
+        ends = ends_of(np.bincount(of, minlength=n))
+        keys = key.astype(key_kind(store.tools.n_a * store.tools.n_b))
+        columns = [part.column(0), *map(pa.array, told.values()), pa.array(digest, pa.string()), _binary(keys, ends), _binary(times.astype("<u4"), ends)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", *COUNTS, "groups_sha256", "keys", "times"])
+
+
+def _counted(batches, kind: str) -> Iterator[pa.RecordBatch]:
+    """(keys) to (key, n): partial counts of the rows of a task that have a key."""
     keys, counts, gathered = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), []
 
     def merged():
@@ -302,8 +363,8 @@ def _counted(batches, paths) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)]), pa.array(counts[i : i + (1 << 17)])], names=["key", "n"])
 
     n = 0
-    for _, texts, store in _slices(batches, paths):
-        _, key, _ = links_of(texts, store)
+    for batch in batches:
+        key, _ = _values(batch.column(0), kind)
         gathered.append(key)
         n += len(key)
         if n >= GATHERED:
@@ -394,31 +455,22 @@ def looked_up(keys: np.ndarray, shards) -> np.ndarray:
     return out
 
 
-NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def _scored(batches, paths, shared) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, numbers, groups_sha256)."""
+def _scored(batches, shared, n_b: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """(row, numbers, groups_sha256, keys, times) to (row, numbers with n_best and count_sum, groups_sha256)."""
     shards: Shards = shared.value
     mapped = shards.mapped()
-    for part, texts, store in _slices(batches, paths):
-        n = part.num_rows
-        row = texts.row()
-        told = {c: np.zeros(n, dtype=np.int64) for c in NUMBERS}
-        if len(texts.chunk):
-            for c in NUMBERS[:4]:
-                np.add.at(told[c], row, store.array(c)[texts.chunk])
-            of, key, times = links_of(texts, store)
-            different, where = np.unique(key, return_inverse=True)
-            count = looked_up(different, mapped)[where]
-            np.add.at(told["count_sum"], of, count * times)
-            top = count == shards.best[key // store.tools.n_b]
-            np.add.at(told["n_best"], of[top], times[top])
-        digest = [
-            hashlib.sha256(";".join(map(store.listed.__getitem__, texts.chunk[i:j].tolist())).encode()).hexdigest() if i < j else ""
-            for i, j in zip(texts.ptr.tolist(), texts.ptr[1:].tolist())
-        ]
-        yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, told.values()), pa.array(digest, pa.string())], names=["row", *NUMBERS, "groups_sha256"])
+    for batch in batches:
+        key, ends = _values(batch.column("keys"), kind)
+        times, _ = _values(batch.column("times"), "<u4")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        different, where = np.unique(key, return_inverse=True)
+        count = looked_up(different, mapped)[where]
+        total, best = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+        np.add.at(total, of, count * times)
+        top = count == shards.best[key // n_b]
+        np.add.at(best, of[top], times[top])
+        kept = [batch.column(c) for c in ("row", *COUNTS)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(best), pa.array(total), batch.column("groups_sha256")], names=["row", *NUMBERS, "groups_sha256"])
 
 
 def _packed_rows(df: DataFrame, text_col: str, carry: list[str] | None) -> tuple[DataFrame, list[str]]:
@@ -439,19 +491,30 @@ def aligned(df: DataFrame, paths: tuple[str, str], text_col: str = "text", carry
     return unpacked(rows.mapInArrow(lambda batches: _aligned(batches, paths), schema), carry, ["groups"])
 
 
-def pair_counts(df: DataFrame, paths: tuple[str, str], text_col: str = "text") -> Shards:
-    """How many rows of ``df`` link each pair of ids, in shards in the shared folder. Repeated rows
-    count as often as they occur."""
-    spark = df.sparkSession
+def links(df: DataFrame, paths: tuple[str, str], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Each row of ``df`` as (row: the columns in ``carry``, the numbers of its tokens, groups and links,
+    ``groups_sha256``, and its different packed keys with how often each is linked), written in the
+    shared folder, so that both passes over the links read what one pass over the texts made."""
+    rows, _ = _packed_rows(df, text_col, carry)
+    schema = rows.select("row").schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    schema = schema.add("groups_sha256", "string").add("keys", "binary").add("times", "binary")
+    return written(rows.mapInArrow(lambda batches: _linked(batches, paths), schema), "pair-links")
+
+
+def pair_counts(found: DataFrame, paths: tuple[str, str]) -> Shards:
+    """How many rows of ``links`` have each key, in shards in the shared folder. Repeated rows count as often
+    as they occur."""
+    spark = found.sparkSession
     tools = Tokenizers(*paths)
+    n_b, kind = tools.n_b, key_kind(tools.n_a * tools.n_b)
     root = shared_path(spark, "pair-counts")
-    root = root if "://" in root else f"file://{root}"
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
     store, path = fs.FileSystem.from_uri(root)
     store.create_dir(path, recursive=True)
-    partial = written(
-        df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda batches: _counted(batches, paths), "key long, n long"), "pair-partials"
-    )
-    n_b, parts = tools.n_b, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partial = written(found.select("keys").mapInArrow(lambda batches: _counted(batches, kind), "key long, n long"), "pair-partials")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = partial.repartitionByRange(parts, "key").sortWithinPartitions("key")
     schema = "first long, last long, rows long, name string, ids array<long>, best array<long>"
     index = ranges.mapInArrow(lambda batches: _shard(batches, root, n_b), schema).collect()
@@ -462,7 +525,7 @@ def pair_counts(df: DataFrame, paths: tuple[str, str], text_col: str = "text") -
 
 
 def scored(
-    df: DataFrame, paths: tuple[str, str], shards: Shards | None = None, text_col: str = "text", carry: list[str] | None = None
+    df: DataFrame, paths: tuple[str, str], text_col: str = "text", carry: list[str] | None = None, shards: Shards | None = None
 ) -> DataFrame:
     """The columns in ``carry`` (all) of ``df`` with the numbers of tokens, groups and links of each text
     (``n_a``, ``n_b``, ``n_groups``, ``n_links``), ``n_best`` (links whose pair has the highest count of
@@ -470,11 +533,13 @@ def scored(
     ``shards``: what ``pair_counts`` found, by default in ``df`` itself. A text without tokens has
     zeros and ''. Repeated rows are alike; an empty table gives an empty result; added columns
     replace input columns of the same name."""
-    shards = pair_counts(df, paths, text_col) if shards is None else shards
-    shared = df.sparkSession.sparkContext.broadcast(shards)
-    rows, carry = _packed_rows(df, text_col, carry)
-    schema = rows.select("row").schema
+    carry = df.columns if carry is None else carry
+    found = links(df, paths, text_col, carry)
+    shared = df.sparkSession.sparkContext.broadcast(pair_counts(found, paths) if shards is None else shards)
+    tools = Tokenizers(*paths)
+    n_b, kind = tools.n_b, key_kind(tools.n_a * tools.n_b)
+    schema = found.select("row").schema
     for c in NUMBERS:
         schema = schema.add(c, "long")
-    found = rows.mapInArrow(lambda batches: _scored(batches, paths, shared), schema.add("groups_sha256", "string"))
-    return unpacked(found, carry, [*NUMBERS, "groups_sha256"])
+    out = found.mapInArrow(lambda batches: _scored(batches, shared, n_b, kind), schema.add("groups_sha256", "string"))
+    return unpacked(out, carry, [*NUMBERS, "groups_sha256"])

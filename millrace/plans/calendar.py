@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,13 +166,9 @@ def notice_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = {"p": "yyyy.MM.dd", "b": "yyyy. M. d.", "w": "yyyy년 M월 d일", "s": "yy. M. d."}
     words = {a + k: F.date_format(d, form) for a, d in (("d", day), ("e", later), ("b", F.date_add(day, -7)), ("a", F.date_add(day, 20))) for k, form in forms.items()}
     words["em"] = F.date_format(later, "M. d.")
-    texts = []
-    for notice in NOTICES:
-        text = F.lit(notice)
-        for mark, value in words.items():
-            if "{" + mark + "}" in notice:
-                text = F.replace(text, F.lit("{" + mark + "}"), value)
-        texts.append(text)
-    text = F.get(F.array(*texts), (F.col("o_orderkey") % len(NOTICES)).cast("int"))
+    text, kind = F.when(F.lit(False), ""), F.col("o_orderkey") % len(NOTICES)
+    for i, notice in enumerate(NOTICES):
+        parts = re.split(r"[{}]", notice)  # words and marks in turn
+        text = text.when(kind == i, F.concat(*[words[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)]))
     found = table(spark, sf_dir, "orders").select("o_orderkey", deadlines.period(text, "2026-01-01").alias("found"))
     return found.select("o_orderkey", "found.first_day", "found.last_day")

@@ -76,10 +76,13 @@ def test_the_worker_against_brute_force(listed, gathered, held, kept, monkeypatc
 
     for name, value in (("LISTED_PAIRS", listed), ("GATHERED", gathered), ("HELD", held), ("KEPT_TOKENS", kept), ("SLICE_BYTES", 40)):
         monkeypatch.setattr(alignment, name, value)
-    batch = pa.RecordBatch.from_arrays([pa.array(TEXTS)], names=["text"])
+    alignment._remembered.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array(TEXTS)], names=["row", "text"])
+    linked = [b.select(["keys"]) for b in alignment._linked(iter([batch, batch.slice(0, 0)]), queries.ALIGNED)]
+    alignment._remembered.cache_clear()
     want = Counter(p for t in TEXTS for p in {(a, b) for g in groups(t) for a in g[0] for b in g[1]})
     got = Counter()
-    for out in alignment._counted(iter([batch, batch.slice(0, 0)]), queries.ALIGNED):
+    for out in alignment._counted(iter(linked), "<u4"):
         for key, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
             got[divmod(key, 32000)] += n
     assert got == want
@@ -91,7 +94,7 @@ def test_chunks_are_encoded_as_in_the_text():
     for text in filter(None, TEXTS):
         chunks = tools.chunks(text)
         assert "".join(chunks) == " " + text
-        ids = [*tools.encoded(chunks)]
+        ids = [*zip(*tools.encoded(chunks))]
         if all(a for a, _ in ids):
             assert sum((a for a, _ in ids), []) == A.encode(" " + text, add_special_tokens=False).ids
             assert sum((b for _, b in ids), []) == B.encode(text)
@@ -110,7 +113,7 @@ def test_scores_and_groups_of_all_kinds_of_texts(spark):
 
 def test_shards_hold_the_counts(spark):
     rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(4)
-    shards = alignment.pair_counts(rows, queries.ALIGNED)
+    shards = alignment.pair_counts(alignment.links(rows, queries.ALIGNED), queries.ALIGNED)
     want = Counter(p for t in TEXTS for p in {(a, b) for g in groups(t) for a in g[0] for b in g[1]})
     keys = np.sort(np.array([a * 32000 + b for a, b in want] + [0]))
     counts = alignment.looked_up(keys, shards.mapped())
