@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import query, table
-from millrace.streaming import jobs
+from millrace.streaming import health, jobs
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -55,3 +55,40 @@ def streaming_once_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the stream, once for each day, user and type."""
     seen = jobs.once_a_day(_event_stream(spark, sf_dir), "ts", ["user_id", "event_type"]).select("day_start", "user_id", "event_type")
     return _ran(seen, spark, "append").groupBy(F.col("day_start").cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+#: What switches a user's visits off, and when they are tried again and forgotten (hours).
+HEALTH = health.Rules(fails=2, retry=6, forget=48)
+
+
+@query(
+    """
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source, epoch_us(ts) // 1000 AS ms, event_id, event_type = 'error' AS failed FROM events),
+    mark AS (SELECT max(ms) - 3600000 AS ms FROM e),
+    gaps AS (SELECT *, lag(ms) OVER w AS before FROM e WINDOW w AS (PARTITION BY source ORDER BY ms, event_id)),
+    lives AS (SELECT *, sum(CASE WHEN ms - before >= 172800000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ms, event_id) AS life FROM gaps),
+    runs AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY source, life ORDER BY ms, event_id) AS run FROM lives),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY source, life, run ORDER BY ms, event_id) AS nth FROM runs WHERE failed),
+    streaks AS (SELECT source, life, run, count(*) AS fails, min(ms) FILTER (WHERE nth = 2) AS off_at FROM numbered GROUP BY ALL),
+    good AS (SELECT source, life, run, ms FROM runs WHERE NOT failed),
+    ends AS (SELECT source, life, max(ms) + 172800000 AS ms, max(run) AS run, max(life) OVER (PARTITION BY source) > life AS seen_again FROM runs GROUP BY source, life),
+    gone AS (SELECT n.source, n.life, n.run, n.ms FROM ends n, mark WHERE n.seen_again OR n.ms <= mark.ms),
+    spans AS (SELECT s.*, coalesce(g.ms, CASE WHEN d.ms IS NOT NULL THEN d.ms ELSE mark.ms END) AS until
+        FROM streaks s CROSS JOIN mark LEFT JOIN good g ON g.source = s.source AND g.life = s.life AND g.run = s.run + 1
+        LEFT JOIN gone d ON d.source = s.source AND d.life = s.life AND d.run = s.run WHERE s.off_at IS NOT NULL),
+    tries AS (SELECT *, unnest(generate_series(off_at + 21600000, until, 21600000)) AS due FROM spans),
+    found AS (
+        SELECT source, off_at AS ms, 'off' AS kind, 2 AS fails FROM streaks WHERE off_at IS NOT NULL
+        UNION ALL SELECT s.source, g.ms, 'on', s.fails FROM streaks s JOIN good g ON g.source = s.source AND g.life = s.life AND g.run = s.run + 1 WHERE s.off_at IS NOT NULL
+        UNION ALL SELECT d.source, d.ms, 'forgotten', coalesce(s.fails, 0) FROM gone d LEFT JOIN streaks s ON s.source = d.source AND s.life = d.life AND s.run = d.run
+        UNION ALL SELECT t.source, t.due, 'retry', count(*) FROM tries t JOIN numbered n ON n.source = t.source AND n.life = t.life AND n.run = t.run AND n.ms < t.due GROUP BY t.source, t.due)
+    SELECT source, make_timestamp(ms * 1000) AS changed_at, kind, CAST(fails AS INTEGER) AS fails FROM found
+    """
+)
+def streaming_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sources that fail, are switched off, tried again, come back and are forgotten: state
+    with timers over the stream of events, up to its watermark. Times are zone-less, as the events' are."""
+    stream = _event_stream(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    with health.state_store(spark):
+        found = _ran(health.changes(stream, "user_id", "ts", "event_id", "failed", HEALTH), spark, "append")
+    return found.select("source", F.timestamp_millis("at").cast("timestamp_ntz").alias("changed_at"), "kind", "fails")

@@ -3,22 +3,24 @@
 One value of state for each source, timers in event time. What happens to a source depends on its
 events in their order alone, not on how a stream is cut into batches: whatever was due before an
 event is told when the event is seen, and what is due without one when the watermark passes it.
+Events of a batch are taken in order; one that a later batch brings counts as of the newest event of
+its source, so a stream that cuts between disordered events says when it saw them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What such a stream needs in the session's settings.
+#: The setting of the session that such a stream needs.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-CHANGES = "source string, at timestamp, kind string, fails int"
+CHANGES = "source string, at long, kind string, fails int"
 _STATE = "fails int, off boolean, due long, seen long"
 HOUR = 3_600_000
 
@@ -56,6 +58,7 @@ class Source:
             self.fails, self.off, self.due, self.seen = 0, False, 0, None
 
     def event(self, now: int, failed: bool) -> Iterator[tuple[int, str, int]]:
+        now = now if self.seen is None else max(now, self.seen)
         yield from self.until(now)
         self.seen = now
         if not failed:
@@ -107,7 +110,8 @@ class SourceHealth(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         source = self._load()
-        yield from _rows(key, source.until(expiredTimerInfo.getExpiryTimeInMs()))
+        # all that the watermark has passed: a timer set anew would wait for another batch
+        yield from _rows(key, source.until(timerValues.getCurrentWatermarkInMs()))
         self._store(source)
 
     def close(self) -> None:
@@ -116,12 +120,24 @@ class SourceHealth(StatefulProcessor):
 
 def _rows(key: Any, changes: Iterator[tuple[int, str, int]]) -> Iterator[Row]:
     for at, kind, fails in changes:
-        yield Row(source=key[0], at=datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=at), kind=kind, fails=fails)
+        yield Row(source=key[0], at=at, kind=kind, fails=fails)
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that such a stream needs, as long as it is started and run."""
+    name, value = STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def changes(events: DataFrame, source: str, time: str, number: str, failed: str, rules: Rules = Rules(), late: str = "1 hour") -> DataFrame:
-    """The changes of all sources of a stream of events: (source, at, kind, fails), kind being off, retry, on or
-    forgotten. ``number`` orders events of one time; events with a null source, time or ``failed`` tell
+    """The changes of all sources of a stream of events: (source, at, kind, fails), ``at`` in milliseconds, kind
+    being off, retry, on or forgotten, and the failures in a row before it. ``number`` orders events of one time; events with a null source, time or ``failed`` tell
     nothing. Events more than ``late`` behind the newest one are dropped."""
     rows = events.select(
         F.col(source).cast("string").alias("source"), F.col(time).alias("time"), F.unix_millis(time).alias("at"), F.col(number).alias("number"), F.col(failed).alias("failed")

@@ -34,6 +34,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+
+
 def merging_sink(path: str, rules: merge.Ownership) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges batch n into the table at ``path``: version n is made from
     version n - 1 and the batch, so a batch that runs again writes the same version. What the table
@@ -55,12 +62,14 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     batch that runs again overwrites its own), and reads the result: all batches or, in mode
     ``complete``, the last. No row passes through the driver."""
     spark = stream.sparkSession
-    last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        last.append(number)
 
     started = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint)
     started.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}" if mode == "complete" else f"{path}/batch=*")
+    made = sorted(int(name.partition("=")[2]) for name in names(spark, path))  # by earlier runs as well
+    if not made:
+        return spark.createDataFrame([], stream.schema)
+    wanted = made[-1:] if mode == "complete" else made
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in wanted])
