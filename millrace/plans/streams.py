@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import merge
 from millrace.plans.registry import query, table
-from millrace.streaming import health, jobs
+from millrace.streaming import buckets, health, jobs
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -92,3 +93,28 @@ def streaming_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     with health.state_store(spark):
         found = _ran(health.changes(stream, "user_id", "ts", "event_id", "failed", HEALTH), spark, "append")
     return found.select("source", F.timestamp_millis("at").cast("timestamp_ntz").alias("changed_at"), "kind", "fails")
+
+
+@query(
+    """
+    WITH s AS (SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) < DATE '1997-01-01' AS stored, CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AS incoming,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'A' ELSE 'B' END AS source FROM orders)
+    SELECT o_orderkey AS id, CASE WHEN incoming AND (NOT stored OR source = 'B') THEN -o_totalprice ELSE o_totalprice END AS price,
+        CASE WHEN stored THEN source ELSE 'B' END AS source FROM s WHERE stored OR incoming
+    """
+)
+def streaming_bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later orders as a stream of source B, merged into a bucketed table of the earlier ones: those of
+    source A stay as they are."""
+    at = folder(spark, "buckets")
+    kept = buckets.BucketTable(f"{at}/table", "id", 16)
+    orders, day = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
+    source = F.when(F.col("o_orderkey") % 3 == 0, "A").otherwise("B").alias("source")
+    by_hand = F.lit(None).cast("array<string>").alias("edited_fields")
+    kept.create(orders.filter(day < "1997-01-01").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), source, by_hand))
+    stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    later = stream.filter(day >= "1996-01-01").select(F.col("o_orderkey").alias("id"), (-F.col("o_totalprice")).alias("price"), F.lit("B").alias("source"), by_hand)
+    sink = buckets.bucket_sink(kept, merge.Ownership("id", owned=("price",)), "price")
+    started = later.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state")
+    started.trigger(availableNow=True).start().awaitTermination()
+    return kept.read(spark).select("id", "price", "source")
