@@ -7,6 +7,10 @@ into the task that their key belongs to, and sorted there. Since the rows below
 known exactly, a row's slot in its shard is its place in the task plus a constant; no shard is
 gathered in one task.
 
+Rows that are equal in hash and id are first taken as one place of the order. Where so many are that
+no splitter can be right (a third of all rows, say), each row gets a number, written with it, that
+takes the place of the id, and the splitters are looked for again.
+
 A round counts candidates by a prefix of the key: at most ``2 ** ROUND_BITS`` for each splitter
 that is still open, so what reaches the driver does not grow with the rows. Where one text holds
 more than a shard may (a third of all rows, say), its rows are split by id.
@@ -58,13 +62,14 @@ def _counted(thin: DataFrame, group: list[Column]) -> list:
 
 def find_splitters(
     thin: DataFrame, wanted: list[tuple[float, float, float]], first_bits: int, id_range: tuple[int, int]
-) -> list[Splitter]:
+) -> tuple[list[Splitter], bool]:
     """A splitter for each (wanted weight below, tolerance, weight of a row) of ``wanted``.
 
     ``thin`` has k (0 to 2 ** KEY_BITS - 1), id and size. The weight below a key is the bytes
     below it plus the given weight of a row times the rows below it. Each round counts the
     intervals that hold an open splitter, divided by the next bits of the hash and, once those
-    are used up, of the id. Rows that are equal in hash and id stay together.
+    are used up, of the id. Rows that are equal in hash and id stay together: also returns
+    whether that kept a splitter from its place.
     """
 
     def weight(at: tuple[int, int, int], each: float) -> float:
@@ -74,7 +79,7 @@ def find_splitters(
     # intervals that hold open splitters: key prefix -> rows below, bytes below, the open ones
     intervals: dict[tuple, tuple[int, int, list[int]]] = {(): (0, 0, list(range(len(wanted))))}
     shift, id_shift = KEY_BITS, max((id_range[1] - id_range[0]).bit_length(), 1)
-    on_id, was = False, 0
+    on_id, was, torn = False, 0, False
     while intervals:
         if not on_id:
             was, shift = shift, shift - first_bits if () in intervals else max(0, shift - ROUND_BITS)
@@ -118,11 +123,12 @@ def find_splitters(
                     else:
                         first_key = ((up[0] + 1) << (0 if on_id else was) if up else 1 << KEY_BITS, LOWEST)
                     found[t] = Splitter(first_key, near[1], near[2])
+                    torn = torn or (abs(weight(near, each) - goal) > slack and right[1] - left[1] > 1)
                 else:
                     following.setdefault(left[0], (left[1], left[2], []))[2].append(t)
         intervals = following
         on_id = shift == 0
-    return [found[t] for t in range(len(wanted))]
+    return [found[t] for t in range(len(wanted))], torn
 
 
 def sharded(
@@ -140,7 +146,8 @@ def sharded(
     Shards hold nearly equal bytes (within ``tolerance`` of a shard and the size of the text at
     the splitter); slots are gapless from 0. Equal texts are neighbours, and in one shard unless
     a splitter has to fall among them. A null text has size 1; a null id sorts first; rows that
-    are equal in text hash and id are never parted; an empty table gives an empty result. Added
+    are equal in text hash and id are parted where the tolerance asks for it, and then equal texts are in the
+    order in which they were read, not of their ids; an empty table gives an empty result. Added
     columns replace input columns of the same name. ``tasks``: parts of the exchange, a multiple
     of ``shards`` at least; more are taken where spark.sql.shuffle.partitions is larger.
     """
@@ -169,7 +176,11 @@ def sharded(
             if per_shard > 1
         ]
         bits = min(20, max(ROUND_BITS, (8 * len(wanted)).bit_length()))
-        splits += find_splitters(thin, wanted, bits, (low, high))
+        places, torn = find_splitters(thin, wanted, bits, (low, high))
+        if torn:
+            keys = written(keys.withColumn("id", F.monotonically_increasing_id()), "shard-rows")
+            places, _ = find_splitters(keys.select("k", "id", "size"), wanted, bits, keys.agg(F.min("id"), F.max("id")).first())
+        splits += places
     shard_keys = sorted(splits[:shards], key=lambda s: s.key)
     shard_keys += [Splitter((1 << KEY_BITS, LOWEST), rows, total or 0)] * (shards - len(shard_keys))
     parts = sorted({s.key: s for s in splits}.values(), key=lambda s: s.key)

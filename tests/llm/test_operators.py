@@ -93,6 +93,24 @@ def test_one_text_may_fill_many_shards(spark):
     assert len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
 
 
+@pytest.mark.parametrize("ids", ["equal", "null", "own"])
+def test_equal_rows_are_parted(spark, ids):
+    """Half of all rows are equal in text and id, or have no id: shards are even all the same, and they are
+    runs of the texts in the order of their hashes."""
+    hot = {"equal": 7, "null": None}
+    texts = ["the same text" if i % 2 else f"text {i}" for i in range(2000)]
+    rows = [(i, hot.get(ids, i) if i % 2 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "n long, doc_id long, text string")
+    got = sharding.sharded(df, 8).withColumn("k", sharding.text_key(F.col("text"))).collect()
+    assert sorted(r.n for r in got) == list(range(2000))
+    own = [[r for r in got if r.shard == s] for s in range(8)]
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in own)
+    sizes, mean = [sum(r["size"] for r in rows) for rows in own], sum(len(t) + 1 for t in texts) / 8
+    assert all(abs(size - mean) <= 2 * 0.002 * mean + 28 for size in sizes)
+    hashes = [r.k for rows in own for r in sorted(rows, key=lambda r: r.slot)]
+    assert hashes == sorted(hashes)
+
+
 def test_main_text_of_the_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in result(spark, "op2_main_text"):
