@@ -59,7 +59,8 @@ def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str = "uppe
 def counts_below(df: DataFrame, value: str, name: str = "below", parts: int = 64) -> DataFrame:
     """For each numeric value how many rows are smaller. Values fall into ``parts`` ranges of about
     equal size; each range is summed in order by itself, and what the ranges before it hold, one
-    small table, is added."""
+    small table, is added. Nulls are neither counted nor told."""
+    df = df.filter(F.col(value).isNotNull())
     marks = df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.2 / parts)
     bounds = F.array(*[F.lit(x) for x in sorted(set(marks))]).cast("array<double>")
     # the first range is 0; a value that is a bound belongs to the range above it
@@ -75,10 +76,10 @@ def counts_below(df: DataFrame, value: str, name: str = "below", parts: int = 64
 
 def ranked(df: DataFrame, value: str, within: str) -> DataFrame:
     """Competition ranks, greatest first (1 + how many are greater), of all rows and within
-    ``within``."""
+    ``within``. A row without a value has no ranks and is in nobody's way."""
     below = counts_below(df.select((-F.col(value)).alias("_down")), "_down", "_greater")
-    inside = F.rank().over(Window.partitionBy(within).orderBy(F.desc(value)))
-    out = df.withColumns({"rank_within": inside.cast("long"), "_down": -F.col(value)}).join(below, "_down")
+    inside = F.when(F.col(value).isNotNull(), F.rank().over(Window.partitionBy(within).orderBy(F.desc_nulls_last(value))))
+    out = df.withColumns({"rank_within": inside.cast("long"), "_down": -F.col(value)}).join(below, "_down", "left")
     return out.withColumn("rank_all", F.col("_greater") + 1).drop("_down", "_greater")
 
 

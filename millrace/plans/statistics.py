@@ -362,9 +362,9 @@ def pay_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     annual = money.annual_pay(F.floor(F.abs("c_acctbal")), F.col("c_custkey") % 7, bonus, duty=[(F.lit(15), n)])
     rows = table(spark, sf_dir, "customer").select("c_custkey", annual.cast("long").alias("annual"), n.alias("n"))
     below = stats.counts_below(rows, "annual")
-    total = rows.agg(F.count("*").alias("n_all"))
+    total = rows.agg(F.count("annual").alias("n_all"))
     rank, share = money.rank_from_below(F.col("n_all"), F.col("below"))
-    return rows.join(below, "annual").join(F.broadcast(total)).select(
+    return rows.join(below, "annual", "left").join(F.broadcast(total)).select(
         "c_custkey",
         "annual",
         money.hourly_wage(F.col("annual"), F.col("n"), F.lit(0)).alias("hourly"),

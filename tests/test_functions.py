@@ -123,3 +123,12 @@ def test_merging_sink_is_idempotent(spark, tmp_path):
     for _ in range(2):
         sink(spark.createDataFrame([(1, "A", "b", None), (2, "A", "c", None)], schema), 1)
     assert sorted((r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/v1").collect()) == [(1, "b"), (2, "c")]
+
+
+def test_rows_without_a_value_have_no_rank(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, "b", 3.0), (4, "b", None), (5, "a", 3.0), (6, "a", 2.0)], "id long, g string, v double")
+    got = {r.id: (r.rank_all, r.rank_within) for r in stats.ranked(df, "v", "g").collect()}
+    assert got == {1: (4, 3), 2: (None, None), 3: (1, 1), 4: (None, None), 5: (1, 1), 6: (3, 2)}
+    assert {r.v: r.below for r in stats.counts_below(df, "v").collect()} == {1.0: 0, 2.0: 1, 3.0: 2}
+    nothing = df.filter("v is null")
+    assert [r.rank_all for r in stats.ranked(nothing, "v", "g").collect()] == [None, None]
