@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import merge
 from millrace.plans.registry import query, table
-from millrace.streaming import buckets, health, jobs
+from millrace.streaming import buckets, health, heartbeats, jobs
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -118,3 +118,37 @@ def streaming_bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = later.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state")
     started.trigger(availableNow=True).start().awaitTermination()
     return kept.read(spark).select("id", "price", "source")
+
+
+#: The jobs of the heartbeats: an event type each, and one whose type never comes.
+JOBS = ("click", "error", "purchase", "signup", "view", "refund")
+
+
+@query(
+    f"""
+    WITH jobs(job) AS (VALUES {', '.join(f"('{j}')" for j in JOBS)}), t AS (SELECT unnest([1, 2]) AS nth),
+    e AS (SELECT event_type AS job, count(*) AS n, count(*) FILTER (WHERE value >= 200) AS dear, bool_or(event_type = 'error') AS bad FROM events GROUP BY event_type),
+    r AS (SELECT job, nth, CASE WHEN coalesce(bad, FALSE) THEN 'failed' WHEN nth = 1 AND n > 0 THEN 'done' ELSE 'empty' END AS outcome, n, dear FROM jobs CROSS JOIN t LEFT JOIN e USING (job))
+    SELECT job, nth, outcome, CAST(CASE WHEN outcome = 'done' THEN n ELSE 0 END AS BIGINT) AS n_rows, CAST(CASE WHEN outcome = 'done' THEN dear ELSE 0 END AS BIGINT) AS n_dear,
+        outcome = 'failed' AS has_why FROM r
+    """
+)
+def streaming_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events for each job, run twice: what is new, then what is left. One row a run, also of
+    those that find nothing and of those that fail (a job that refuses what it reads)."""
+    at = folder(spark, "beats")
+    beats = heartbeats.Heartbeats(spark, f"{at}/beats")
+    for job in JOBS:
+        kind, refused = F.col("event_type"), F.raise_error(F.lit("an error is no event")).cast("string")
+        mine = _event_stream(spark, sf_dir).filter(kind == job)
+        mine = heartbeats.counting(mine, kept=F.lit(True), dear=F.col("value") >= 200)
+        mine = mine.withColumn("event_type", F.when(kind == "error", refused).otherwise(kind))
+        writer = mine.writeStream.format("parquet").option("path", f"{at}/{job}/rows").option("checkpointLocation", f"{at}/{job}/state")
+        for _ in range(2):
+            beats.stream(job, lambda writer=writer: writer.trigger(availableNow=True).start())
+    nth = F.row_number().over(Window.partitionBy("job").orderBy("started_at"))
+    n = lambda name: F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0).cast("long"))
+    return beats.read().select(
+        "job", nth.alias("nth"), F.when((F.col("outcome") == "done") & (n("kept") == 0), "empty").otherwise(F.col("outcome")).alias("outcome"),
+        n("kept").alias("n_rows"), n("dear").alias("n_dear"), F.col("why").isNotNull().alias("has_why"),
+    )
