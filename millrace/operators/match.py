@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import Cut, carried
 
 def unique_or_null(left: DataFrame, right: DataFrame, key: str, take: str, min_alias: str = "matched") -> DataFrame:
     """``left`` with ``take`` of the right row of equal key if exactly one has that key. The right
@@ -16,12 +17,11 @@ def unique_or_null(left: DataFrame, right: DataFrame, key: str, take: str, min_a
     return out.withColumn(min_alias, F.when(F.col("n_found") == 1, F.col(min_alias))).withColumn("n_found", F.coalesce("n_found", F.lit(0)))
 
 
-def nearest_before(df: DataFrame, by: Sequence[str], at: Column, tie: Column, is_left: Column, is_right: Column, take: Column, name: str) -> DataFrame:
+def nearest_before(df: DataFrame, by: Sequence[str], at: Column, tie: Column, is_left: Column, is_right: Column, take: Column, name: str, cut: Cut = Cut()) -> DataFrame:
     """For each row that ``is_left``, ``take`` of the latest earlier row of its group that
-    ``is_right``: an as-of join of a table with itself in one sort, without a join."""
-    before = Window.partitionBy(*by).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.last(F.when(is_right, take), ignorenulls=True).over(before)
-    return df.withColumn(name, found).filter(is_left)
+    ``is_right``: an as-of join of a table with itself without a join. Groups with a large share of the rows are
+    sorted in parts."""
+    return carried(df.withColumn("_left", is_left), by, at, tie, {name: (F.when(is_right, take), True)}, cut).filter("_left").drop("_left")
 
 
 def nearest_in_group(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
@@ -101,17 +101,15 @@ def by_mutual_prefix(left: DataFrame, right: DataFrame, key: str, on: Sequence[s
     return out.select(key, F.when(F.col("n_found") == 1, F.col("_only")).alias("matched"), "n_found")
 
 
-def rival_verdicts(df: DataFrame, by: str, day: str, key: str, theirs: Column, within: int) -> DataFrame:
+def rival_verdicts(df: DataFrame, by: str, day: str, key: str, theirs: Column, within: int, cut: Cut = Cut()) -> DataFrame:
     """For each row that is ``theirs``, the days to the nearest of the others of its group (negative: the
     other was before), of two equally near ones the earlier, and who was faster; beyond ``within``
-    days there is none. Two running windows, no join."""
+    days there is none. Two running windows, no join; groups with a large share of the rows are sorted in parts."""
     mine = F.when(~theirs, F.col(day))
-    order = Window.partitionBy(by).orderBy(day, theirs.cast("int"))
-    before = F.last(mine, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(mine, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = carried(df.withColumn("_theirs", theirs), [by], F.col(day), theirs.cast("int"), {"_before": (mine, True), "_after": (mine, False)}, cut)
     back, ahead = F.date_diff("_before", day), F.date_diff("_after", day)
     near = F.when(F.col("_after").isNull() | (-back <= ahead), back).otherwise(ahead)
-    out = df.withColumns({"_before": before, "_after": after}).filter(theirs)
+    out = out.filter("_theirs").drop("_theirs")
     days = F.when(F.abs(near) <= within, near)
     out = out.withColumn("days", F.when(F.col("_before").isNull(), F.when(F.abs(ahead) <= within, ahead)).otherwise(days))
     verdict = F.when(F.col("days").isNull(), "missing").when(F.col("days") < 0, "faster").when(F.col("days") > 0, "slower").otherwise("same")
