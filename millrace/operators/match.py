@@ -92,15 +92,54 @@ def with_or_without(left: DataFrame, right: DataFrame, key: str, region: str, ta
 
 def by_mutual_prefix(left: DataFrame, right: DataFrame, key: str, on: Sequence[str], text: str, take: str) -> DataFrame:
     """For each left row the one right row that agrees in ``on`` and whose text begins the left one's or
-    is begun by it, and how many do. Names are joined by equality; the prefix test is a filter."""
-    other = right.select(*on, F.col(text).alias("_text"), F.col(take).alias("_take"))
-    met = left.select(key, *on, text).join(other, list(on), "left")
-    fits = met.filter(F.col(text).startswith(F.col("_text")) | F.col("_text").startswith(F.col(text)))
-    found = fits.groupBy(key).agg(F.min("_take").alias("_only"), F.count("*").alias("_n"))
-    out = left.select(key).join(found, key, "left").withColumn("n_found", F.coalesce("_n", F.lit(0)))
+    is begun by it, and how many do. Rows without a text or a value of ``on`` fit none.
+
+    No pairs are made: texts are cut to the lengths that the other side has, and meet by equality. A text is begun by
+    those right texts that equal one of its prefixes; it begins those of which it equals a prefix, and these are counted
+    before they meet. Different texts are looked up once, however many rows have them."""
+    named = [*on, text]
+    asked = left.select(*named).dropna().distinct()
+    have = right.dropna(subset=named).groupBy(*named).agg(F.count("*").alias("_n"), F.min(take).alias("_only"))
+    cut = F.substring(text, F.lit(1), F.col("_length"))
+    at_most = lambda other, longest: F.explode(F.filter(_lengths(other, text), lambda n: n <= longest)).alias("_length")
+    begun = asked.select(*named, at_most(have, F.length(text))).withColumn("_text", cut)
+    begun = begun.join(have.withColumnRenamed(text, "_text"), [*on, "_text"]).select(*named, "_n", "_only")
+    begins = have.select(*named, "_n", "_only", at_most(asked, F.length(text) - 1)).withColumn(text, cut)
+    found = begun.unionByName(begins.drop("_length")).groupBy(*named).agg(F.sum("_n").alias("n_found"), F.min("_only").alias("_only"))
+    out = left.select(key, *named).join(found, named, "left").withColumn("n_found", F.coalesce("n_found", F.lit(0).cast("long")))
     return out.select(key, F.when(F.col("n_found") == 1, F.col("_only")).alias("matched"), "n_found")
 
 
+def _lengths(df: DataFrame, text: str) -> Column:
+    """The different lengths of the texts, at most as many as the longest text has characters."""
+    found = sorted(r[0] for r in df.select(F.length(text)).distinct().collect())
+    return F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+
+
+def class_pairs(df: DataFrame, on: Sequence[str], source: str, key: str, apart: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates for merging: rows that agree in ``on`` and come from different sources, without pairs of rows.
+    Returns the classes (``on``, ``source``, the least key as ``rep``, ``n``, and the least and greatest ``kind``) and the pairs of
+    representatives of the same ``on``: rep_a < rep_b, how many pairs of rows they stand for, and whether their kinds differ.
+    Pairs in ``apart`` (rep_a, rep_b in either order), judged before to be different, are left out. Nulls in ``on`` or
+    ``source`` fit nothing.
+
+    A group's classes are as many as its sources, so its pairs are bounded by their square."""
+    classes = df.dropna(subset=[*on, source]).groupBy(*on, source).agg(
+        F.min(key).alias("rep"), F.count("*").alias("n"), F.min(kind).alias("kind_least"), F.max(kind).alias("kind_most")
+    )
+    of = F.struct("rep", F.col(source).alias("source"), "n", "kind_least", "kind_most")
+    groups = classes.groupBy(*on).agg(F.sort_array(F.collect_list(of)).alias("_of")).filter(F.size("_of") > 1)
+    pairs = groups.select(*on, "_of", F.posexplode("_of").alias("_at", "a")).select(*on, "a", F.explode(F.slice("_of", F.col("_at") + 2, F.size("_of"))).alias("b"))
+    one = lambda x, y: (F.col(f"{x}.kind_least") == F.col(f"{y}.kind_least")) & (F.col(f"{x}.kind_most") == F.col(f"{y}.kind_most"))
+    same = one("a", "b") & (F.col("a.kind_least") == F.col("a.kind_most"))
+    pairs = pairs.select(
+        *on, F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"),
+        (F.col("a.n") * F.col("b.n")).alias("n_pairs"), (~F.coalesce(same, F.lit(False))).alias("kinds_differ"),
+    )
+    judged = apart.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+    return classes, pairs.join(judged, ["rep_a", "rep_b"], "left_anti")
+
+
 def rival_verdicts(df: DataFrame, by: str, day: str, key: str, theirs: Column, within: int, cut: Cut = Cut()) -> DataFrame:
     """For each row that is ``theirs``, the days to the nearest of the others of its group (negative: the
     other was before), of two equally near ones the earlier, and who was faster; beyond ``within``

@@ -223,6 +223,27 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("o_custkey", "o_orderkey_a", "o_orderkey_b")
 
 
+@query(
+    """
+    WITH c AS (SELECT o_custkey, o_orderstatus, o_orderpriority AS s, min(o_orderkey) AS rep, count(*) AS n, min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi
+        FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority),
+    apart AS (SELECT min(o_orderkey) AS x, max(o_orderkey) AS y FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey)
+    SELECT a.o_custkey, a.o_orderstatus, a.rep AS rep_a, b.rep AS rep_b, a.s AS source_a, b.s AS source_b, a.n * b.n AS n_pairs,
+        NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo) AS kinds_differ
+    FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus AND a.rep < b.rep
+    WHERE NOT EXISTS (SELECT 1 FROM apart WHERE x = a.rep AND y = b.rep)
+    """
+)
+def merge_candidate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one customer and status from different priorities, as pairs of classes: each class's first order
+    stands for it, pairs once judged to be different are left out, and pairs of different years are marked."""
+    orders, year = table(spark, sf_dir, "orders"), F.year("o_orderdate").alias("year")
+    rows = orders.select("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey", year)
+    # judged before: the last and first of every fourth order of a customer
+    judged = orders.filter("o_orderkey % 4 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("rep_a"), F.min("o_orderkey").alias("rep_b"))
+    return match.class_pairs(rows, ["o_custkey", "o_orderstatus"], "o_orderpriority", "o_orderkey", judged, "year")[1]
+
+
 @query(
     """
     SELECT event_id, signup_id FROM (SELECT event_id, event_type,
