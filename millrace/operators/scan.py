@@ -8,7 +8,7 @@ say where cells end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,27 +45,37 @@ def _same(by: Sequence[str]) -> Column:
     return same
 
 
+def same_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The inner join of two tables of one row a group, nulls being a group as well."""
+    taken = [f"b.{c}" for c in right.columns if c not in by]
+    return left.alias("a").join(right.alias("b"), _same(by)).select("a.*", *taken)
+
+
 def _met(df: DataFrame, few: DataFrame, by: Sequence[str], take: str) -> DataFrame:
     """``df`` with ``take`` of the row of ``few``, a bounded table, that agrees in ``by``, nulls included."""
     return df.alias("a").join(F.broadcast(few).alias("b"), _same(by), "left").select("a.*", f"b.{take}")
 
 
-def with_cells(df: DataFrame, by: Sequence[str], at: Column, cut: Cut = Cut()) -> DataFrame | None:
-    """``df`` with ``_cell``, the place of a row's cell in its group: 0 but for groups that are cut. None if no group is.
-    Rows that are equal in ``at`` are in one cell; a null is before all values."""
+def hot_groups(df: DataFrame, by: Sequence[str], cut: Cut = Cut()) -> DataFrame | None:
+    """The groups that are cut, as a small table with ``_hot``; None if there is none."""
     counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = counts.filter(F.col("_n") >= max(cut.least, cut.share * total)).drop("_n")
     keys = hot.collect()  # 1 / share rows at most
-    if not keys:
+    return df.sparkSession.createDataFrame(keys, hot.schema).withColumn("_hot", F.lit(True)) if keys else None
+
+
+def with_cells(df: DataFrame, by: Sequence[str], at: Column, cut: Cut = Cut()) -> DataFrame | None:
+    """``df`` with ``_cell``, the place of a row's cell in its group: 0 but for groups that are cut. None if no group is.
+    Rows that are equal in ``at`` are in one cell; a null is before all values."""
+    hot = hot_groups(df, by, cut)
+    if hot is None:
         return None
-    spark = df.sparkSession
-    hot = spark.createDataFrame(keys, hot.schema).withColumn("_hot", F.lit(True))
     rows = df.withColumn("_at", _number(df, at))
     marked = _met(rows, hot, by, "_hot")
     shares = [k / cut.parts for k in range(1, cut.parts)]
     splits = marked.filter("_hot").groupBy(*by).agg(F.array_distinct(F.percentile_approx("_at", shares)).alias("_splits"))
-    splits = spark.createDataFrame(splits.collect(), splits.schema)
+    splits = df.sparkSession.createDataFrame(splits.collect(), splits.schema)
     cell = F.size(F.filter("_splits", lambda s: s < F.col("_at")))
     return _met(rows, splits, by, "_splits").withColumn("_cell", F.when(F.col("_splits").isNull(), 0).otherwise(cell)).drop("_splits", "_at")
 
@@ -112,3 +122,47 @@ def _from_other_cells(out: DataFrame, cells: DataFrame, by: Sequence[str], at: C
     table = table.select(*by, "_cell", F.struct(*carry).alias("_carry"))
     out = _met(out, table, [*by, "_cell"], "_carry")
     return out.withColumns({name: F.coalesce(f"_near_{name}", F.col(f"_carry.{name}")) for name in takes}).drop("_carry")
+
+
+def selected(df: DataFrame, by: Sequence[str], value: str, places: Callable[[Column], list[Column]], cut: Cut = Cut()) -> DataFrame:
+    """For each group the number ``n`` of its values and, as a map ``at``, those at some ``places`` of ``n`` (from 0) in their
+    sorted order. Equal values are counted first. A group with very many different ones is a histogram of cells: only the
+    cells in which a wanted place falls are sorted. Nulls are not counted; a group without values has no row."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    cells = with_cells(counts, by, F.col(value), cut)
+    rows = counts.withColumn("_cell", F.lit(0)) if cells is None else cells
+    group = Window.partitionBy(*by)
+    base = F.coalesce(F.sum("_sum").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy(*by, "_cell").agg(F.sum("_n").alias("_sum")).withColumns({"_base": base, "n": F.sum("_sum").over(group)})
+    inside = lambda low, n: lambda p: (low <= p) & (p < low + n)
+    want = F.filter(F.array_distinct(F.array(*places(F.col("n")))), inside(F.col("_base"), F.col("_sum")))
+    sums = sums.withColumn("_want", want).filter(F.size("_want") > 0)
+    met = rows.alias("a").join(sums.alias("b"), _same([*by, "_cell"])).select("a.*", "b._base", "b.n", "b._want")
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = met.withColumn("_low", F.col("_base") + below).withColumn("_hits", F.filter("_want", inside(F.col("_low"), F.col("_n"))))
+    found = found.select(*by, "n", value, F.explode("_hits").alias("_place"))
+    return found.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_place", value))).alias("at"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, marks: Sequence[float], name: str = "q", cut: Cut = Cut()) -> DataFrame:
+    """Exact quantiles ``name`` by group, between two values in proportion. Groups with a large share of the rows are
+    selected from cells; others are one aggregate, which holds a group's different values."""
+    hot = hot_groups(df, by, cut)
+    whole = F.percentile(value, [float(m) for m in marks]).alias(name)
+    if hot is None:
+        return df.groupBy(*by).agg(whole)
+    marked = _met(df.select(*by, value), hot, by, "_hot")
+    cold = marked.filter(F.col("_hot").isNull()).groupBy(*by).agg(whole)
+    at = lambda n, m: (n - 1) * F.lit(float(m))
+    ends = lambda n: [f(at(n, m)).cast("long") for m in marks for f in (F.floor, F.ceil)]
+    found = selected(marked.filter("_hot").drop("_hot"), by, value, ends, cut)
+
+    def between(m: float) -> Column:
+        place = at(F.col("n"), m)
+        low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
+        of = lambda p: F.element_at("at", p).cast("double")
+        return F.when(low == high, of(low)).otherwise((high - place) * of(low) + (place - low) * of(high))
+
+    # a large group of nulls alone has no quantiles, but its row
+    found = _met(hot.drop("_hot"), found.select(*by, F.array(*[between(m) for m in marks]).alias(name)), by, name)
+    return cold.unionByName(found)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import Cut, quantiles, same_groups, selected
 
 def ratio_state(top: Column, bottom: Column) -> Column:
     """What is known of ``top / bottom``: unknown is not zero."""
@@ -34,26 +35,23 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x + 0.5) / 10**digits
 
 
-def five_numbers(df: DataFrame, by: Sequence[str], value: str, least: int, digits: int = 2) -> DataFrame:
+def five_numbers(df: DataFrame, by: Sequence[str], value: str, least: int, digits: int = 2, cut: Cut = Cut()) -> DataFrame:
     """Count, minimum, quartiles and maximum by group; all but the count are null in groups of fewer
     than ``least`` rows, inside the query. Values are whole units of the last decimal, so quartiles
     between two of them are exact and halves are rounded alike everywhere."""
     units = F.round(F.col(value) * 10**digits)
-    marks = F.percentile(units, [0.0, 0.25, 0.5, 0.75, 1.0])
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), marks.alias("q"))
+    rows = df.select(*by, units.alias("_units"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    out = same_groups(counts, quantiles(rows, by, "_units", [0.0, 0.25, 0.5, 0.75, 1.0], "q", cut), by)
     names = ("low", "q1", "median", "q3", "high")
     return out.select(*by, "n", *[F.when(F.col("n") >= least, rounded(F.col("q")[i], digits)).alias(c) for i, c in enumerate(names)])
 
 
-def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
+def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str = "upper_median", cut: Cut = Cut()) -> DataFrame:
     """The value at ``n div 2`` of each group's sorted values: no mean of the middle two. Equal values
-    are counted first, and a group's values are streamed in order, never held as one array."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    middle = F.floor(F.sum("_n").over(group) / 2)
-    out = counts.withColumns({"_upto": upto, "_middle": middle})
-    return out.filter((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_n") <= F.col("_middle"))).select(*by, F.col(value).alias(name))
+    are counted first, and a group's values are streamed in order, never held as one array. Nulls are left out."""
+    middle = lambda n: [F.floor(n / 2).cast("long")]
+    return selected(df, by, value, middle, cut).select(*by, F.element_at("at", middle(F.col("n"))[0]).alias(name))
 
 
 def counts_below(df: DataFrame, value: str, name: str = "below", parts: int = 64) -> DataFrame:
@@ -83,9 +81,9 @@ def ranked(df: DataFrame, value: str, within: str) -> DataFrame:
     return out.withColumn("rank_all", F.col("_greater") + 1).drop("_down", "_greater")
 
 
-def peer_band(df: DataFrame, within: str, value: str, names=("easy", "middle", "busy")) -> DataFrame:
+def peer_band(df: DataFrame, within: str, value: str, names=("easy", "middle", "busy"), cut: Cut = Cut()) -> DataFrame:
     """The band of each row in its group: bottom quarter, middle, top quarter."""
-    marks = df.groupBy(within).agg(F.percentile(value, [0.25, 0.75]).alias("_q"))
+    marks = quantiles(df, [within], value, [0.25, 0.75], "_q", cut)
     band = F.when(F.col(value) <= F.col("_q")[0], names[0]).when(F.col(value) >= F.col("_q")[1], names[2]).otherwise(names[1])
     return df.join(marks, within).withColumn("band", band).drop("_q")
 

@@ -3,10 +3,11 @@
 import random
 from statistics import median
 
+import numpy
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import scan
+from millrace.operators import scan, stats
 
 SCHEMA = "k string, at {}, tie long, v long"
 
@@ -62,3 +63,30 @@ def test_empty_and_unordered_tables(spark):
     assert scan.carried(df, ["k"], F.col("at"), F.col("tie"), {"back": (F.col("v"), True)}).count() == 0
     with pytest.raises(TypeError):
         scan.with_cells(df.unionByName(spark.createDataFrame([("a", 1, 1, 1)], df.schema)), ["k"], F.col("k"), scan.Cut(0.1, 1, 2))
+
+
+@pytest.mark.parametrize("cut", [scan.Cut(), scan.Cut(0.05, 100, 16), scan.Cut(0.001, 1, 3)])
+def test_quantiles_of_cut_groups(spark, cut):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", None, f"k{rng.randrange(40)}"]), rng.choice([None, rng.randrange(5000), 77])) for _ in range(4000)]
+    rows += [("none", None)] * 300 + [("one", 5)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    marks = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r.q for r in scan.quantiles(df, ["k"], "v", marks, cut=cut).collect()}
+    middles = {r.k: r.upper_median for r in stats.upper_median(df, ["k"], "v", cut=cut).collect()}
+    values = {}
+    for k, v in rows:
+        values.setdefault(k, [])
+        if v is not None:
+            values[k].append(v)
+    assert set(got) == set(values) and got["none"] is None and "none" not in middles
+    for k, v in values.items():
+        if v:
+            assert got[k] == pytest.approx([float(x) for x in numpy.quantile(v, marks)])
+            assert middles[k] == sorted(v)[len(v) // 2]
+
+
+def test_only_cells_with_a_wanted_place_are_sorted(spark):
+    df = spark.range(30000).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 30011).alias("v"))
+    out = scan.selected(df, ["k"], "v", lambda n: [F.floor(n / 2).cast("long")], scan.Cut(0.01, 1000, 50))
+    assert dict(out.first()["at"]) == {15000: sorted(i * 7919 % 30011 for i in range(30000))[15000]} and out.first().n == 30000
