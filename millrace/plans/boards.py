@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query, table
 from millrace.plans.wording import chosen
-from millrace.sources import pages, readers
+from millrace.sources import pages, readers, tables
 
 BOARD = {"rows": "data.list", "title": "name", "from_date": "begin", "link": "https://h.io/view?no={no}&t={kind}", "total": "data.count"}
 
@@ -122,3 +122,29 @@ def one_table_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("day").alias("n_days"), F.count("price").alias("n_prices"))
+
+
+#: The patterns of three kinds of sites, by the end of their host.
+SITES = [
+    ("com", r"<li>.*?</li>", {"title": r">([^<]+)</a>", "link": r'href="([^"]*)"'}),
+    ("org", r"<h1>[^<]*</h1>", {"title": r"<h1>([^<]*)</h1>"}),
+    ("net", r"<p>[^<]+</p>", {"title": r"<p>([^<]+)</p>", "link": r'href="([^"]*)"'}),
+]
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*\\.([a-z]+)(?:[/?#]|$)', 1) AS kind, html FROM pages),
+    m AS (SELECT page_id, kind, CASE kind WHEN 'com' THEN regexp_extract_all(html, '(?s)<li>.*?</li>') WHEN 'org' THEN regexp_extract_all(html, '<h1>[^<]*</h1>')
+        WHEN 'net' THEN regexp_extract_all(html, '<p>[^<]+</p>') END AS found FROM p),
+    r AS (SELECT page_id, kind, CAST(unnest(generate_series(1, len(found))) AS INTEGER) AS place, unnest(found) AS x FROM m)
+    SELECT page_id, place, CASE kind WHEN 'com' THEN string_split(string_split(x, '</a>')[1], '>')[3] ELSE string_split(string_split(x, '>')[2], '</')[1] END AS title,
+        CASE WHEN kind = 'com' THEN string_split(x, '"')[2] END AS link FROM r
+    """
+)
+def site_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of pages by the patterns of their kind of site, which are a table: a table function called for each page."""
+    kind = F.regexp_extract("url", r"://[^/?#]*\.([a-z]+)(?:[/?#]|$)", 1)
+    sites = spark.createDataFrame(SITES, "kind string, row string, parts map<string,string>")
+    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), "html")
+    return tables.board_rows(rows, sites, "kind", "title,link").drop("kind")
