@@ -11,7 +11,7 @@ from millrace.sources import paged
 from millrace.streaming import jobs
 
 #: Rows that a page has at most.
-PAGE = 100
+PAGE = 500
 
 
 def _listed(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
