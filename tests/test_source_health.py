@@ -82,3 +82,30 @@ def test_rows_that_tell_nothing(spark, tmp_path):
     rows = [(None, START, 1, True), ("a", None, 2, True), ("a", START, 3, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
     assert not run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_a_try_before_a_failure_waits_for_the_watermark(spark, tmp_path):
+    source, at = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, [("a", 0, True), ("a", 1, True), ("a", 7, True), ("b", 7, False)], source)
+    assert run(spark, source, at) == {("a", 1, "off", 2): 1}  # due at 7, and the watermark is at 6
+    put(spark, [("a", 8, True), ("b", 9, False)], source, 4)
+    assert run(spark, source, at) == {("a", 1, "off", 2): 1, ("a", 7, "retry", 2): 1}
+    put(spark, [("a", 13, True), ("a", 13, False)], source, 6)  # a success tells all that was due before it
+    assert run(spark, source, at) == {("a", 1, "off", 2): 1, ("a", 7, "retry", 2): 1, ("a", 13, "retry", 4): 1, ("a", 13, "on", 5): 1}
+
+
+def test_late_hours_match_the_sql(spark, tmp_path):
+    import duckdb
+
+    import oracle
+    from millrace.plans import catalog
+
+    con, path = duckdb.connect(), tmp_path / "events.parquet"
+    row = "i AS event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(hash(i) % 60 AS INTEGER)) AS ts, hash(i, 'u') % 300 AS u, hash(i, 't') % 5 AS t"
+    con.execute(
+        f"COPY (SELECT CAST(event_id AS BIGINT) AS event_id, ts, CAST(u AS BIGINT) AS user_id, CASE WHEN t < 3 THEN 'error' ELSE 'view' END AS event_type "
+        f"FROM (SELECT {row} FROM range(3000) r(i))) TO '{path}'"
+    )
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    name = "streaming_source_health"
+    oracle.check(spark, con, str(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name])
