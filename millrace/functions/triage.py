@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.dictionary import Dictionary
-from millrace.functions.text import listed_in_brackets, squeeze
+from millrace.functions.text import bound, listed_in_brackets, squeeze
 
 # The word lists of the domain.
 #: Words that say that a posting is for the members' professions.
@@ -302,20 +302,26 @@ def step_names(text: Column, n: Column) -> Column:
     """The names of ``n`` steps: numbered in the text (``서류전형(1차)``; a missing number spoils them),
     else in the order that the text has them, with a last one added where it is one short; else by
     default. With where they come from."""
-    t = F.coalesce(text, F.lit(""))
+    return bound(F.struct(F.coalesce(text, F.lit("")).alias("text"), n.alias("n")), lambda x: _named(x["text"], x["n"]))
+
+
+def _named(t: Column, n: Column) -> Column:
+    """``step_names`` of a text that is not null. Each value is worked out once, numbers only where there are any."""
     numbered = []
     for number in range(1, 6):
         name = F.when(F.lit(False), "")
         for pattern, label in STEP_WORDS:
             name = name.when(t.rlike(rf"(?:{pattern})[^()]{{0,14}}\({number}\s*차\)|{number}\s*차\s*[)\]]?\s*[:：–-]?\s*(?:{pattern})"), label)
-        numbered.append(name)
-    marks = F.array(*numbered)
-    last = F.coalesce(F.array_max(F.transform(marks, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
-    by_number = F.when(F.size(F.array_compact(F.slice(marks, F.lit(1), last))) == last, F.array_compact(F.slice(marks, F.lit(1), last)))
+        numbered.append(F.when(t.rlike(rf"{number}\s*차"), name))
+
+    def by_number(marks: Column) -> Column:
+        last = F.array_max(F.transform(marks, lambda x, i: F.when(x.isNotNull(), i + 1)))
+        return bound(last, lambda last: bound(F.array_compact(F.slice(marks, F.lit(1), last)), lambda a: F.when(F.size(a) == last, a)))
+
     words = F.regexp_extract_all(t, F.lit("(" + "|".join(p for p, _ in STEP_WORDS) + ")"), F.lit(1))
     label = lambda w: F.coalesce(*[F.when(w.rlike(f"^(?:{p})$"), F.lit(name)) for p, name in STEP_WORDS])
     in_order = F.array_distinct(F.transform(words, label))
-    read = F.when((last > 0) & by_number.isNotNull(), by_number).otherwise(in_order)
+    read = F.coalesce(F.when(t.rlike(r"[1-5]\s*차"), bound(F.array(*numbered), by_number)), in_order)
     many = F.concat(
         F.array(F.lit("서류"), F.lit("면접")),
         F.transform(F.sequence(F.lit(3), F.greatest(n - 1, F.lit(3))), lambda i: F.concat(i.cast("string"), F.lit("차"))),
@@ -324,8 +330,8 @@ def step_names(text: Column, n: Column) -> Column:
     default = F.when(n <= 1, F.array(F.lit("최종")))
     for k in (2, 3):
         default = default.when(n == k, F.array(*map(F.lit, DEFAULT_STEPS[k])))
-    named = F.when(F.size(read) == n, read).when(F.size(read) == n - 1, F.concat(read, F.array(F.lit("최종"))))
-    return F.struct(F.coalesce(named, default.otherwise(many)).alias("names"), F.when(named.isNotNull(), "text").otherwise("default").alias("source"))
+    named = bound(read, lambda r: F.when(F.size(r) == n, r).when(F.size(r) == n - 1, F.concat(r, F.array(F.lit("최종")))))
+    return bound(named, lambda x: F.struct(F.coalesce(x, default.otherwise(many)).alias("names"), F.when(x.isNotNull(), "text").otherwise("default").alias("source")))
 
 
 #: What parts two halves of "physical or occupational therapist" when the noun is written once.

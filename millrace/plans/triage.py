@@ -218,7 +218,8 @@ def named_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of recruitment steps: numbered, in reading order, or by default."""
     k = F.col("p_partkey")
     found = triage.step_names(chosen([p[0] for p in PROCESSES], k), chosen([p[1] for p in PROCESSES], k))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found["names"], "|").alias("names"), found["source"].alias("source"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("found"))
+    return rows.select("p_partkey", F.array_join("found.names", "|").alias("names"), "found.source")
 
 
 @query(

@@ -84,3 +84,15 @@ def test_rules_are_not_repeated_in_the_plan(spark):
 
     plan = catalog.QUERIES["posting_triage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("no word of ours") == 1 and "contains(" not in plan.lower()
+
+
+def test_step_names_are_worked_out_once(spark):
+    from millrace.plans import catalog
+
+    plan = catalog.QUERIES["named_steps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("RLIKE") <= 5 * len(triage.STEP_WORDS) + 5 + 1 + len(triage.STEP_WORDS)
+    texts = (("1차 서류, 3차 면접", 2, "서류|면접", "text"), ("서류(1차) 실기(3차)", 3, "서류|실기|최종", "text"), ("7차 면접", 1, "면접", "text"), ("면접", None, "서류|면접|3차|최종", "default"))
+    rows = spark.createDataFrame(texts, "t string, n int, names string, source string")
+    f = triage.step_names(F.col("t"), F.col("n"))
+    got = rows.select("names", "source", F.array_join(f["names"], "|"), f["source"]).collect()
+    assert [r[2:] for r in got] == [r[:2] for r in got]
